@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, packing, pivot_search, quality, secrets
+from . import fingerprints, mixing, near_dedup, packing, pivot_search, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op1_trigram_secret_scan,
         quality.op2_boosted_quality,
         near_dedup.op4_setsketch_near_dedup,
+        suffixes.op5_sampled_suffix_dedup,
         pivot_search.op6_pivot_top_k,
         fingerprints.op7_prefix_fingerprints,
         packing.op9_binary_packing,

@@ -77,9 +77,9 @@ def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * powers(len(h))[1][start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and the text's index of every run of bytes that aren't white space; none crosses two texts."""
-    ink = ~WHITE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and the text's index of every run of bytes outside ``gaps`` (white space); none crosses two texts."""
+    ink = ~gaps[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.zeros(len(data) + 1, bool)
