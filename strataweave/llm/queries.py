@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, packing, pivot_search, quality, secrets, suffixes
+from . import fingerprints, licences, mixing, near_dedup, packing, pivot_search, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         suffixes.op5_sampled_suffix_dedup,
         pivot_search.op6_pivot_top_k,
         fingerprints.op7_prefix_fingerprints,
+        licences.op8_automaton_licences,
         packing.op9_binary_packing,
         mixing.op10_sainte_lague_mix,
     )
