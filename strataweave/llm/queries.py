@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licences, mixing, near_dedup, packing, pivot_search, quality, secrets, suffixes
+from . import fingerprints, licences, mixing, near_dedup, packing, paragraphs, pivot_search, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         secrets.op1_trigram_secret_scan,
         quality.op2_boosted_quality,
+        paragraphs.op3_paragraph_minhash,
         near_dedup.op4_setsketch_near_dedup,
         suffixes.op5_sampled_suffix_dedup,
         pivot_search.op6_pivot_top_k,

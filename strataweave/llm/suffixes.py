@@ -20,7 +20,7 @@ document's parts. No rows: no rows. Extra columns are ignored by :func:`repeats`
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,7 @@ def _rows(batch: pa.RecordBatch, at: int, n: int) -> tuple[np.ndarray, np.ndarra
     return batch.column("doc").slice(at, n).to_numpy(), batch.column("part").slice(at, n).to_numpy().astype(np.int64) * ROW
 
 
+Sampler = Callable[[np.ndarray, np.ndarray, int], dict[str, np.ndarray]]
 MARKS = "doc long, start long, stop long"
 DEALT = "bucket int, asked boolean, blob binary"
 
@@ -150,7 +151,8 @@ def _splitters(docs: DataFrame, length: int, buckets: int) -> np.ndarray:
     return np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else np.zeros(0, np.uint64)
 
 
-def _first_pass(docs: DataFrame, length: int, splitters: np.ndarray) -> DataFrame:
+def first_pass(docs: DataFrame, splitters: np.ndarray, length: int = 100, sampler: Sampler = sampled_suffixes) -> DataFrame:
+    """Step 1 for ``docs(doc, part, text)``; ``sampler`` finds the suffixes of a chunk of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
 
     def flush(held: list[list[np.ndarray]]) -> list[tuple]:
@@ -170,7 +172,7 @@ def _first_pass(docs: DataFrame, length: int, splitters: np.ndarray) -> DataFram
         held, count = [], 0
         for batch in batches:
             for at, n, data, offsets in tx.chunks(batch.column("text")):
-                s = sampled_suffixes(data, offsets, length)
+                s = sampler(data, offsets, length)
                 doc, base = _rows(batch, at, n)
                 place = s["at"] - offsets[s["owner"]] + base[s["owner"]]
                 held.append([doc[s["owner"]], place, s["at"] - s["first"], s["last"] + length - s["at"], s["gram"], s["context"], s["lead"]])
@@ -184,7 +186,7 @@ def _first_pass(docs: DataFrame, length: int, splitters: np.ndarray) -> DataFram
     return docs.mapInArrow(run, DEALT)
 
 
-def _buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
+def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
     """Marks of every bucket: ``asked`` false. With ``whole`` the keys are contexts, and suffixes of which one gram has
     several contexts come out too: ``asked`` true, with gram, place and reach."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -288,9 +290,9 @@ def marked(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(rows, length, 8 * parts)
     slim = rows.select("doc", "part", "text")
-    found = table(_buckets(_first_pass(slim, length, splitters), True, length), "suffixes")
+    found = table(buckets(first_pass(slim, splitters, length), True, length), "suffixes")
     asked = found.filter("gram IS NOT NULL")
-    more = table(_buckets(_second_pass(slim, asked, length, 8 * parts), False, length), "windows")
+    more = table(buckets(_second_pass(slim, asked, length, 8 * parts), False, length), "windows")
     return rows, found.filter("gram IS NULL").select("doc", "start", "stop").union(more.select("doc", "start", "stop"))
 
 
