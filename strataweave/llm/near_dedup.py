@@ -3,10 +3,10 @@
 Every document's set is its distinct word shingles. Register ``i`` holds the exponentially spaced, truncated minimum
 ``K_i = clamp(floor(1 - log_b(min_x e_i(x))), 0, q + 1)`` over exponential variates ``e_i(x)`` of rate ``a``: registers of
 a union are the larger of both, and equal registers grow likelier with the Jaccard similarity. Rows of registers form
-bands; documents that share a band meet, first around one member of the band and then, where that left several
-components, each smaller component against all the band's members, so that no link is lost and a band of thousands
-of copies costs its length and not its square. A pair goes on if its jointly estimated similarity may reach the
-threshold, and is linked only by its full sets.
+bands; documents that share a band meet first around one member of the band. Where that left several components in a band,
+their members are joined on prefixes of their full sets, rarest shingles first, which finds every further link without
+making all pairs of a group. A pair goes on if its jointly estimated similarity may reach the threshold, and is linked
+only by its full sets.
 
 Defined cases. Null or blank text: empty set, linked with nothing, its own component. Rows that share a doc_id are one
 node of the graph, and each has its own n_shingles. Null doc_id: component null, kept false, links with nothing.
@@ -95,6 +95,10 @@ class Sketch:
         return np.take_along_axis(grid, score.argmax(1)[:, None], 1)[:, 0]
 
 
+#: Buckets of the table that orders shingles by rarity.
+COUNTER_BITS = 20
+COUNTERS = 1 << COUNTER_BITS
+
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, registers binary"
 
 
@@ -174,11 +178,62 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return wanted.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run, "node long, set binary").filter("length(set) > 0")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None = None, rounds: int = 6) -> DataFrame:
+def _rare_first(full: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each of ``COUNTERS`` hash buckets: a fixed-size table for the order of prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column("set"):
+                total += np.bincount((np.frombuffer(x.as_py(), np.uint64) >> tx.U(64 - COUNTER_BITS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    summed = full.select("set").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+    return out
+
+
+def _by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame:
+    """Every pair of ``unsettled(node, component, minor)`` in different components, one of them minor, that may reach ``percent``.
+
+    Sets that similar share a shingle among the first |x| - ceil(percent * |x|) + 1 of each, in any order of shingles. With the
+    rarest first, near copies offer what sets them apart, and a large group of them yields few pairs.
+    """
+    own = full.join(unsettled, "node")
+    counters = full.sparkSession.sparkContext.broadcast(_rare_first(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counters.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, size = [], []
+            for x in batch.column("set"):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                keep = len(x) - -(-percent * len(x) // 100) + 1
+                first.append(x[np.lexsort((x, often[(x >> tx.U(64 - COUNTER_BITS)).astype(np.int64)]))[:keep]])
+                size.append(len(x))
+            rows = np.repeat(np.arange(batch.num_rows), [len(f) for f in first])
+            at = pa.array(rows)
+            yield pa.record_batch(
+                [pa.array(np.concatenate(first).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "component", "minor")), pa.array(np.array(size)[rows])],
+                ["shingle", "node", "component", "minor", "size"],
+            )
+
+    rows = table(own.select("node", "set", "component", "minor").mapInArrow(run, "shingle long, node long, component long, minor boolean, size long"), "prefixes")
+    x = rows.filter("minor").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
+    y = rows.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "minor")
+    # a pair of two minor ones is met from both sides
+    once = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
+    return x.join(y, "shingle").filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``.
 
-    ``percent`` is the least Jaccard similarity of a link, in hundredths. ``rounds`` bounds only how often an unresolved
-    band is tried around one member; whatever is unresolved then is compared in full.
+    ``percent`` is the least Jaccard similarity of a link, in hundredths.
     """
     sketch = sketch or Sketch()
     share = percent / 100
@@ -191,51 +246,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None =
     nodes = table(real.withColumnRenamed("doc_id", "node").join(classes, on_key, "left_semi").dropDuplicates(on_key), "nodes")
     # a doc_id that comes with several sets links their classes
     twice = real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("n > 1 AND lo <> hi").select("doc_id")
-    links = [table(real.join(twice, "doc_id", "left_semi").join(classes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same-id")]
+    if twice.take(1):
+        same_id = real.join(twice, "doc_id", "left_semi").join(classes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    else:
+        same_id = signed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = table(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("band", "pivot"), "bands")
     met = table(banded.join(shared, "band").select("band", "pivot", "node"), "met")
-    meeting = met.select("node").distinct()
+    meeting = table(met.select("node").distinct(), "meeting")
     held = table(nodes.join(meeting, "node", "left_semi").select("node", "n_shingles", "registers"), "registers")
     full = table(_full_sets(docs, meeting, sketch.words).dropDuplicates(["node", "set"]), "full")
 
-    open_bands = met
-    for turn in range(rounds + 1):
-        if turn == rounds:  # the smaller components of a band against all its members
-            side = lambda k, d=open_bands: d.select("band", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("main").alias(f"m{k}"))
-            minor = side("x").filter("cx <> mx")
-            pairs = minor.join(side("y"), "band").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            pairs = open_bands.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = table(_likely(pairs.distinct(), held, sketch, share), "likely")
-        links.append(table(_confirmed(pairs, full, percent), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        found = table(components(every), "components")
-        if turn == rounds:
-            break
-        # bands whose members still lie in several components; the next pivot is another member of the largest
-        labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        counted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("next"))
-        main = counted.groupBy("band").agg(F.max_by(F.struct("component", F.col("next.node").alias("pivot")), F.struct("n", F.hash("component", F.lit(turn)))).alias("m"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        main = table(main.filter("parts > 1").select("band", F.col("m.component").alias("main"), F.col("m.pivot").alias("pivot"), F.expr("n * (n - most)").alias("work")), "open")
-        left = main.agg(F.sum("work"), F.count("*")).first()
-        if not left[1]:
-            break
-        open_bands = table(labelled.join(main, "band"), "labelled").select("band", "node", "component", "main", "pivot")
-        if turn + 1 < rounds and left[0] <= 4 * open_bands.count():
-            # few pairs are left: compare them now
-            side = lambda k, d=open_bands: d.select("band", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("main").alias(f"m{k}"))
-            pairs = side("x").filter("cx <> mx").join(side("y"), "band").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            pairs = table(_likely(pairs.distinct(), held, sketch, share), "likely")
-            links.append(table(_confirmed(pairs, full, percent), "links"))
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            found = table(components(every), "components")
-            break
+    # first each member of a band against its smallest
+    pairs = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = table(_confirmed(_likely(pairs, held, sketch, share), full, percent).union(same_id), "links")
+    found = table(components(links), "components")
+    # then what still lies in several components of one band: all but its largest component against all
+    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    counted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
+    unsettled = table(labelled.join(main, "band").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor")), "unsettled")
+    if unsettled.take(1):
+        more = _confirmed(_likely(_by_prefix(full, unsettled, percent), held, sketch, share), full, percent)
+        more = table(more, "more-links")
+        if more.take(1):
+            stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            found = table(components(stars.union(more)), "components")
 
     of_class = table(classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component")), "labels")
     out = signed.select("doc_id", *key).join(of_class, key, "left")
