@@ -1 +1 @@
-"""See the package README."""
+"""Operators on pixels, samples, support sets and their predictions; each takes and returns DataFrames."""

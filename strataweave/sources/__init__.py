@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: parameter files, delimited tables, raster and tile tables, trees, catalogues of files."""
