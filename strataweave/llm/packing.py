@@ -20,33 +20,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Encoded words that a worker keeps, and the longest of them; they are forgotten together when there are more.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 48
+WORDS_KEPT, LONGEST_KEPT = 600_000, 48
+#: Marks that make one token run behind letters (an apostrophe may begin another kind).
+MARKS = ".,;:!?$#%&*|"
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. No token of this vocabulary crosses white space, so words are encoded once and joined."""
+    """Ids as little-endian 32-bit bytes. No token of this vocabulary crosses white space, nor the end of a run of letters,
+    and case doesn't matter to it: words are encoded once, as their letters in lower case and the marks behind them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - self.kept.keys()) if split else []
-        if len(self.kept) + len(fresh) > WORDS_KEPT:
-            self.kept = {"": b""}
-            fresh = list(set().union(*split) - {""})
-        coded = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        self.kept.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(fresh, coded, strict=True))
-        out = [b"".join(map(self.kept.__getitem__, words)) for words in split]
+        if len(self.words) > WORDS_KEPT or len(self.parts) > WORDS_KEPT:
+            self.words, self.parts = {"": b""}, {"": b""}
+        fresh = set().union(*split) - self.words.keys()
+        cut = {}
+        for w in fresh:
+            letters = w.rstrip(MARKS)
+            plain = letters.isalpha() and max(letters) < "\u0100"  # their lower case is one letter each, in any composition
+            cut[w] = (letters.lower(), w[len(letters) :]) if plain else (w, "")
+        new = list({p for pair in cut.values() for p in pair} - self.parts.keys())
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.parts.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in cut.items())
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > LONGEST_KEPT:
-                del self.kept[w]
+                self.words.pop(w)
+                self.parts.pop(cut[w][0], None)
+        self.parts[""] = b""
         return out
 
 
