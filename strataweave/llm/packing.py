@@ -24,6 +24,9 @@ WORDS_KEPT, LONGEST_KEPT = 600_000, 48
 #: Marks that make one token run behind letters (an apostrophe may begin another kind).
 MARKS = ".,;:!?$#%&*|"
 
+#: Parts encoded by one call.
+JOINED = 2000
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,6 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark, token = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.between = token.content
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -44,21 +49,31 @@ class Encoder:
         if len(self.words) > WORDS_KEPT or len(self.parts) > WORDS_KEPT:
             self.words, self.parts = {"": b""}, {"": b""}
         fresh = set().union(*split) - self.words.keys()
-        cut = {}
+        plain, other, cut = set(), [], {}
         for w in fresh:
             letters = w.rstrip(MARKS)
-            plain = letters.isalpha() and max(letters) < "\u0100"  # their lower case is one letter each, in any composition
-            cut[w] = (letters.lower(), w[len(letters) :]) if plain else (w, "")
-        new = list({p for pair in cut.values() for p in pair} - self.parts.keys())
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.parts.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in cut.items())
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):  # their lower case is one letter each, in any composition
+                cut[w] = pair = letters.lower(), w[len(letters) :]
+                plain.update(pair)
+            else:
+                other.append(w)
+        parts = self.parts
+        new = list(plain - parts.keys())
+        for at in range(0, len(new), JOINED):  # many parts in one call, told apart by a special token
+            some = new[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            body, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+            starts = np.append(0, ends[:-1] + 4)
+            parts.update((p, body[i:j]) for p, i, j in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
+        coded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.words.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(other, coded, strict=True))
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > LONGEST_KEPT:
-                self.words.pop(w)
-                self.parts.pop(cut[w][0], None)
-        self.parts[""] = b""
+                del self.words[w]
+                if w in cut:
+                    parts.pop(cut[w][0], None)
         return out
 
 
