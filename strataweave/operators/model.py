@@ -163,7 +163,7 @@ def forest_members(samples: DataFrame, trees: int, share: float = 0.63, seed: in
     """Samples for each tree (as ``set_id``) with ``in_bag``: a forest is the ensemble whose sets all cover everything."""
     from ..functions.numeric import shuffled
 
-    each = samples.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).cast("long"))
+    each = samples.withColumn("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
     return each.withColumn("in_bag", (shuffled(seed, "obs_id", "set_id") % 10000 < int(share * 10000)).cast("int"))
 
 

@@ -74,7 +74,7 @@ def within_limits(sizes: DataFrame, n: int, low: float | None, high: float | Non
             out = out.withColumn("size", F.when(v > high, (v + high) / 2.05).otherwise(v)).withColumn("size", v / F.sum("size").over(w) * n)
         if low is not None:
             out = out.withColumn("size", F.when(v < low, (v + low) / 1.95).otherwise(v)).withColumn("size", v / F.sum("size").over(w) * n)
-    return out.withColumn("size", F.floor("size"))
+    return out.withColumn("size", F.floor(F.round("size", 6)))  # sums in any order give one result
 
 
 def drawn(df: DataFrame, sizes: DataFrame, value: str, bins: Sequence[tuple[float, float]], key: Sequence[str], by: Sequence[str] = (), seed: int = 1) -> DataFrame:

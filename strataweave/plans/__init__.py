@@ -1 +1 @@
-"""See the package README."""
+"""Named queries over the operators, and the same in DuckDB SQL."""
