@@ -103,7 +103,7 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     targets = fill([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
     seats = sainte_lague(targets, round(sum(targets) / block))
     schema = "source string, source_size long, target double, seats long, shards int"
-    told = spark.createDataFrame([(r.source, r["size"], t, s, min(MOST_SHARDS, -(-r.docs // SHARD_DOCS))) for r, t, s in zip(found, targets, seats, strict=True)], schema)
+    told = spark.createDataFrame([(r.source, r["size"], float(t), s, min(MOST_SHARDS, -(-r.docs // SHARD_DOCS))) for r, t, s in zip(found, targets, seats, strict=True)], schema)
     told = F.broadcast(told) if len(found) <= 10_000 else told
     # the order within a shard depends on the row and the seed alone, so reruns agree however rows are dealt
     rows = sizes.join(told.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
