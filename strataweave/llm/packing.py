@@ -11,6 +11,7 @@ a doc_id are packed each by itself. No rows: no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,20 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Encoded words that a worker keeps, and the longest of them; they are forgotten together when there are more.
-WORDS_KEPT, LONGEST_KEPT = 600_000, 48
-#: Marks that make one token run behind letters (an apostrophe may begin another kind).
-MARKS = ".,;:!?$#%&*|"
-
-#: Parts encoded by one call.
-JOINED = 2000
+#: Encoded words that a worker keeps (all are forgotten when there are more), the longest of them, and new ones a call.
+WORDS_KEPT, LONGEST_KEPT, JOINED = 600_000, 48, 2000
+#: Marks behind letters and before white space: a token run of their own. Special tokens begin with ``SPECIAL``.
+MARKS = re.compile("([.,;:!?$#%&*|])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)([.,;:!?$#%&*|]*)(?=[ \\n]|$)")
+#: Byte-level spelling: printable bytes stand for themselves, the others for letters from U+0100 on.
+SPELT = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
+SPECIAL = "<|"
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. No token of this vocabulary crosses white space, nor the end of a run of letters,
-    and case doesn't matter to it: words are encoded once, as their letters in lower case and the marks behind them."""
+    """Ids as little-endian 32-bit bytes.
+
+    No token of this vocabulary crosses white space or the end of a run of letters, and case doesn't matter to it. So a
+    text is cut there, in lower case where that is one letter for one, and every word is encoded once: new runs of letters
+    by the tokenizer's model, the others by the whole tokenizer together, told apart by a special token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,38 +47,39 @@ class Encoder:
         self.mark, token = min(self.tokenizer.get_added_tokens_decoder().items())
         self.between = token.content
         self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+
+    def cut(self, text: str) -> list[str]:
+        if SPECIAL not in text:
+            try:
+                text.encode("latin-1")
+                text = MARKS.sub(r" \1\2", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > WORDS_KEPT or len(self.parts) > WORDS_KEPT:
-            self.words, self.parts = {"": b""}, {"": b""}
-        fresh = set().union(*split) - self.words.keys()
-        plain, other, cut = set(), [], {}
+        split = [self.cut(t) for t in texts]
+        if len(self.words) > WORDS_KEPT:
+            self.words = {"": b""}
+        fresh = list(set().union(*split) - self.words.keys())
+        alone, other, run = [], [], self.tokenizer.model.tokenize
         for w in fresh:
-            letters = w.rstrip(MARKS)
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):  # their lower case is one letter each, in any composition
-                cut[w] = pair = letters.lower(), w[len(letters) :]
-                plain.update(pair)
+            if w.isalpha() and w.islower() and max(w) < "\u0100" or not w.strip(".,;:!?$#%&*|"):
+                # one run of small letters or of marks: the model's own input, once its bytes are spelt out
+                self.words[w] = np.array([t.id for t in run(w if w.isascii() else w.encode().decode("latin-1").translate(SPELT))], "<u4").tobytes()
             else:
-                other.append(w)
-        parts = self.parts
-        new = list(plain - parts.keys())
-        for at in range(0, len(new), JOINED):  # many parts in one call, told apart by a special token
-            some = new[at : at + JOINED]
+                (alone if SPECIAL in w else other).append(w)
+        for at in range(0, len(other), JOINED):
+            some = other[at : at + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
             body, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
             starts = np.append(0, ends[:-1] + 4)
-            parts.update((p, body[i:j]) for p, i, j in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
-        coded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.words.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(other, coded, strict=True))
+            self.words.update((w, body[i:j]) for w, i, j in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        self.words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in alone)
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > LONGEST_KEPT:
                 del self.words[w]
-                if w in cut:
-                    parts.pop(cut[w][0], None)
         return out
 
 

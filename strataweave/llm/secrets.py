@@ -216,3 +216,23 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
 def op1_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """DuckDB SQL for the same rows: every rule on every text, places from the lengths of matches and of what lies between."""
+    found = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        least = f"length(regexp_extract(hit[i], '{pattern}', {r.group}))"
+        places = "coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)"
+        texts = f"SELECT doc_id, string_split_regex(text, '{pattern}') AS gap, regexp_extract_all(text, '{pattern}') AS hit FROM documents WHERE regexp_matches(text, '{pattern}')"
+        split = f"SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM ({texts})"
+        found.append(f"SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {str(r.base).lower()} AS base, CAST({places} AS BIGINT) AS first, length(hit[i]) AS size FROM ({split}) WHERE {least} >= {r.least}")
+    told = "string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    return f"""WITH s AS ({' UNION ALL '.join(found)}),
+a AS (SELECT doc_id, {counts}, {told} FILTER (base) AS base, {told} AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+OP1_SQL = _sql()
