@@ -199,7 +199,8 @@ def _by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame
     """Every pair of ``unsettled(node, component, minor)`` in different components, one of them minor, that may reach ``percent``.
 
     Sets that similar share a shingle among the first |x| - ceil(percent * |x|) + 1 of each, in any order of shingles. With the
-    rarest first, near copies offer what sets them apart, and a large group of them yields few pairs.
+    rarest first, near copies offer what sets them apart, and what is left behind the first shared shingle must suffice for
+    the overlap asked for, so a large group of them yields few pairs.
     """
     own = full.join(unsettled, "node")
     counters = full.sparkSession.sparkContext.broadcast(_rare_first(own))
@@ -217,16 +218,19 @@ def _by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame
                 size.append(len(x))
             rows = np.repeat(np.arange(batch.num_rows), [len(f) for f in first])
             at = pa.array(rows)
+            left = np.array(size)[rows] - np.concatenate([np.arange(len(f)) for f in first])
             yield pa.record_batch(
-                [pa.array(np.concatenate(first).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "component", "minor")), pa.array(np.array(size)[rows])],
-                ["shingle", "node", "component", "minor", "size"],
+                [pa.array(np.concatenate(first).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "component", "minor")), pa.array(np.array(size)[rows]), pa.array(left)],
+                ["shingle", "node", "component", "minor", "size", "left"],
             )
 
-    rows = table(own.select("node", "set", "component", "minor").mapInArrow(run, "shingle long, node long, component long, minor boolean, size long"), "prefixes")
-    x = rows.filter("minor").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
-    y = rows.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), "minor")
+    rows = table(own.select("node", "set", "component", "minor").mapInArrow(run, "shingle long, node long, component long, minor boolean, size long, left long"), "prefixes")
+    x = rows.filter("minor").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
+    y = rows.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"), "minor")
+    # from the first shingle that a pair shares on, both must hold enough for the overlap that the threshold asks for
+    enough = (100 + percent) * F.least("lx", "ly") >= percent * (F.col("sx") + F.col("sy"))
     # a pair of two minor ones is met from both sides
-    once = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
+    once = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & enough
     return x.join(y, "shingle").filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
