@@ -151,12 +151,13 @@ def drawn(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     """
     planned = plan(table(sized(docs), "sizes"), weights, share, most, block, seed)
     draws = planned.select(F.col("doc_id").alias("_mix_doc"), F.col("size").alias("_mix_size"), F.col("full").alias("_mix_full"), _extra(block).alias("_mix_extra")).dropDuplicates(["_mix_doc", "_mix_size"])
-    rows = docs.withColumn("_mix_words", F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
-    rows = rows.join(draws, F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & (F.coalesce(F.size("_mix_words"), F.lit(0)) == F.col("_mix_size")))
+    rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("_mix_doc")))  # texts are split behind the join: their words are larger
+    rows = rows.withColumn("_mix_words", F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
     part = F.concat_ws(" ", F.flatten(F.transform("_mix_extra", lambda x: F.slice("_mix_words", (x["first"] + 1).cast("int"), (x["end"] - x["first"]).cast("int")))))
     total = F.aggregate("_mix_extra", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     last = F.when(total == F.col("_mix_size"), F.array("text")).when(total > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
-    texts = F.when(F.col("_mix_size") > 0, F.concat(F.array_repeat("text", F.col("_mix_full").cast("int")), last)).otherwise(F.array().cast("array<string>"))
+    own = (F.col("_mix_size") > 0) & (F.size("_mix_words") == F.col("_mix_size"))  # of rows that share a doc_id
+    texts = F.when(own, F.concat(F.array_repeat("text", F.col("_mix_full").cast("int")), last)).otherwise(F.array().cast("array<string>"))
     out = rows.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
