@@ -238,6 +238,24 @@ def test_paragraphs_and_pasted_passages(spark, none):
         paragraphs.paragraph_dedup(spark.createDataFrame([(-1, "a")], "doc_id long, text string"))
 
 
+def test_short_lines_and_blocks_of_them_are_paragraphs(spark):
+    rng = random.Random(6)
+    line, word = prose(rng, 10, 5000), prose(rng, 1, 5000)
+    words = prose(rng, 60, 5000).split()
+    laid = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    edited = [*words[:30], "changed", *words[31:]]
+    alike = prose(rng, 19, 5000)  # a line that is most of its block
+    rows = [
+        (1, f"{line}\n\n{prose(rng, 30, 5000)}\n{word}"), (2, f"{prose(rng, 12, 5000)}\n\n{line}\n\n{word}"),
+        (3, laid(words, 8)), (4, laid(edited, 7)), (5, f"{alike}\nend"), (6, f"{alike}\nend"), (7, "end\n" + alike), (8, f"{prose(rng, 9, 5000)}\n{prose(rng, 9, 5000)}"),
+    ]
+    got = {r.doc_id: r for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = {i: len(t.encode()) for i, t in rows}
+    assert sorted(i for i in got if not got[i].n_removed) == [1, 3, 5, 8]
+    assert got[2].n_removed == len(f"{line}\n{word}".encode())
+    assert all(got[i].spans == f"0:{size[i]}" for i in (4, 6, 7))
+
+
 # suffixes
 
 
