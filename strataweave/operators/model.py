@@ -176,16 +176,17 @@ def error_by_trees(predictions: DataFrame, truth: str, key: str = "obs_id") -> D
     return vote.groupBy("n_trees").agg(F.avg((F.col("vote") != F.col(truth)).cast("int")).alias("error"))
 
 
-def mllib_forest(samples: DataFrame, features: Sequence[str], target: str, kind: str = "classifier", trees: int = 50, depth: int = 10, seed: int = 1):
-    """A distributed random forest, for samples too many for a task."""
+def mllib_forest(samples: DataFrame, features: Sequence[str], target: str, kind: str = "classifier", trees: int = 50, depth: int = 10, seed: int = 1, scored: DataFrame | None = None):
+    """A distributed random forest, for samples too many for a task; it predicts ``scored``, or its own samples."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     forest = RandomForestClassifier if kind == "classifier" else RandomForestRegressor
-    vectors = VectorAssembler(inputCols=sorted(features), outputCol="features", handleInvalid="skip").transform(samples.withColumn("label", F.col(target).cast("double")))
+    assembler = VectorAssembler(inputCols=sorted(features), outputCol="features", handleInvalid="skip")
+    vectors = assembler.transform(samples.withColumn("label", F.col(target).cast("double")))
     model = forest(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minWeightFractionPerNode=0.005).fit(vectors)
-    return model.transform(vectors)
+    return model.transform(vectors if scored is None else assembler.transform(scored))
 
 
 def split_path(nodes: Sequence[tuple], features: Sequence[str]) -> Column:
