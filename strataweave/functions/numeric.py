@@ -32,19 +32,31 @@ def truncated(x: Num) -> Column:
     return col(x).cast("double").cast("long")
 
 
+def squared(h: Column, plus: int) -> Column:
+    return (h * h + plus) % PRIME
+
+
 def shuffled(seed: int, *ids: Num) -> Column:
-    """An integer that orders rows as if at random, the same on every engine; break its ties by the ids."""
-    multipliers = (48271, 69621, 16807, 39373)
-    total = F.lit(seed).cast("long")
-    for x, m in zip(ids, multipliers, strict=False):
-        total = total + col(x).cast("long") * m
-    return (total * 16807 + 12345) % PRIME
+    """An integer that orders rows as if at random, the same on every engine; break its ties by the ids.
+
+    Each id is mixed into the key so far and the sum squared modulo a prime before the next one comes, so neighbouring
+    ids, sets and seeds have unrelated keys. All products stay below 2**62.
+    """
+    key = F.lit(start_key(seed))
+    for x, m in zip(ids, (48271, 69621, 16807, 39373), strict=False):
+        key = squared((key + F.pmod(col(x).cast("long"), F.lit(PRIME)) * m) % PRIME, 104729)
+    return squared(key, 1299709)
+
+
+def start_key(seed: int) -> int:
+    h = (seed * 2654435761 + 12345) % PRIME
+    return (h * h + 7919) % PRIME
 
 
 def pop_std(v: Num) -> Column:
     """Population standard deviation of integers from exact integer sums, so that ties of rounding agree everywhere."""
     x, n = col(v).cast("long"), F.count(col(v))
-    return F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")) / n
+    return F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")) / F.nullif(n, F.lit(0))
 
 
 def row_ids(df: DataFrame, lead: str, order: list[str], name: str, buckets: int = 4096) -> DataFrame:

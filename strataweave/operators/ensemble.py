@@ -44,22 +44,23 @@ def set_combinations(pixel_sets: DataFrame, pixel: Sequence[str], set_id: str =
 def importance_ranks(importance: DataFrame, variable: str = "variable", value: str = "importance") -> DataFrame:
     """Mean importance of each variable, its share of all, and its rank (ties by name)."""
     mean = importance.groupBy(variable).agg(F.avg(value).alias("_m"))
-    share = F.col("_m") / F.sum("_m").over(Window.partitionBy())
+    share = F.col("_m") / F.nullif(F.sum("_m").over(Window.partitionBy()), F.lit(0))
     return mean.withColumn("pct_importance", share).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pct_importance"), variable))).drop("_m")
 
 
 def gaussian_mean(predictions: DataFrame, pixel: Sequence[str], value: str, centre: str, c: float = 5, a: float = 1) -> DataFrame:
-    """Mean weighted by (a e) ** (-(v - centre)**2 / (2 c**2)), rounded half to even."""
+    """Mean weighted by (a e) ** (-(v - centre)**2 / (2 c**2)), rounded half to even; null where every weight is
+    too small for a double."""
     import math
 
     w = F.exp(-((F.col(value) - F.col(centre)) ** 2) / (2.0 * c * c) * math.log(a * math.e))
-    return predictions.groupBy(*pixel).agg(half_even(F.round(F.sum(F.col(value) * w) / F.sum(w), 6)).cast("int").alias("weighted_mean"))
+    return predictions.groupBy(*pixel).agg(half_even(F.round(F.sum(F.col(value) * w) / F.nullif(F.sum(w), F.lit(0.0)), 6)).cast("int").alias("weighted_mean"))
 
 
 def metric_map(pixel_sets: DataFrame, sets: DataFrame, pixel: Sequence[str], metric: str) -> DataFrame:
     """Mean of a set metric over the sets of each pixel (truncated), and their number."""
     joined = pixel_sets.join(sets.select("set_id", metric), "set_id")
-    return joined.groupBy(*pixel).agg(F.floor(F.sum(metric) / F.count(metric)).cast("int").alias(metric), F.count("*").alias("count"))
+    return joined.groupBy(*pixel).agg(F.floor(F.sum(metric) / F.nullif(F.count(metric), F.lit(0))).cast("int").alias(metric), F.count("*").alias("count"))
 
 
 def importance_map(pixel_sets: DataFrame, importance: DataFrame, pixel: Sequence[str]) -> DataFrame:

@@ -29,9 +29,10 @@ def mae(x: Num, y: Num) -> Column:
 
 
 def r2(truth: Num, predicted: Num) -> Column:
-    """1 - SSE / SST, from sums."""
+    """1 - SSE / SST, from sums; null where the truth is constant."""
     t, p = col(truth).cast("double"), col(predicted).cast("double")
-    return 1 - F.sum((t - p) * (t - p)) / (F.sum(t * t) - F.sum(t) * F.sum(t) / F.count(t))
+    n = F.nullif(F.count(t), F.lit(0))
+    return 1 - F.sum((t - p) * (t - p)) / F.nullif(F.sum(t * t) - F.sum(t) * F.sum(t) / n, F.lit(0.0))
 
 
 def brier(truth: Num, probability: Num) -> Column:
@@ -41,7 +42,8 @@ def brier(truth: Num, probability: Num) -> Column:
 def agreement(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Agreement coefficient and its systematic and unsystematic parts: ac, ac_s, ac_u, ssd, spod.
 
-    Two passes: means and moments of each group, then the sums around them.
+    Two passes: means and moments of each group, then the sums around them. A constant x or y has no line, so its ac_s and
+    ac_u are null; ac is null where both are the same constant.
     """
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     n = F.count("*")
@@ -49,9 +51,10 @@ def agreement(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
     m = m.withColumn("_b", F.signum("_sxy") * F.sqrt(F.col("_syy") / F.nullif(F.col("_sxx"), F.lit(0.0)))).withColumn("_a", F.col("_my") - F.col("_b") * F.col("_mx"))
     rows = df.join(F.broadcast(m) if not by else m, list(by)) if by else df.join(F.broadcast(m))
     d = F.abs(F.col("_mx") - F.col("_my"))
-    line = F.abs(X - (Y - F.col("_a")) / F.col("_b")) * F.abs(Y - (F.col("_a") + F.col("_b") * X))
+    line = F.abs(X - (Y - F.col("_a")) / F.nullif("_b", F.lit(0.0))) * F.abs(Y - (F.col("_a") + F.col("_b") * X))
     s = rows.groupBy(*by).agg(F.sum((X - Y) * (X - Y)).alias("ssd"), F.sum((d + F.abs(X - F.col("_mx"))) * (d + F.abs(Y - F.col("_my")))).alias("spod"), F.sum(line).alias("_u"))
-    return s.select(*by, (1 - F.col("ssd") / F.col("spod")).alias("ac"), (1 - (F.col("ssd") - F.col("_u")) / F.col("spod")).alias("ac_s"), (1 - F.col("_u") / F.col("spod")).alias("ac_u"), "ssd", "spod")
+    spod = F.nullif("spod", F.lit(0.0))
+    return s.select(*by, (1 - F.col("ssd") / spod).alias("ac"), (1 - (F.col("ssd") - F.col("_u")) / spod).alias("ac_s"), (1 - F.col("_u") / spod).alias("ac_u"), "ssd", "spod")
 
 
 def confusion_counts(df: DataFrame, predicted: str, truth: str, bins: Bins, by: Sequence[str] = ()) -> DataFrame:
@@ -76,8 +79,8 @@ def adjusted(counts: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> D
 
 def class_accuracies(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(class, user, producer): shares of the adjusted diagonal in its row and its column."""
-    rows = cells.groupBy(*by, F.col("p_bin").alias("class")).agg((F.sum(F.when(F.col("p_bin") == F.col("t_bin"), F.col("p"))) / F.sum("p")).alias("user"))
-    cols = cells.groupBy(*by, F.col("t_bin").alias("class")).agg((F.sum(F.when(F.col("p_bin") == F.col("t_bin"), F.col("p"))) / F.sum("p")).alias("producer"))
+    rows = cells.groupBy(*by, F.col("p_bin").alias("class")).agg((F.sum(F.when(F.col("p_bin") == F.col("t_bin"), F.col("p"))) / F.nullif(F.sum("p"), F.lit(0.0))).alias("user"))
+    cols = cells.groupBy(*by, F.col("t_bin").alias("class")).agg((F.sum(F.when(F.col("p_bin") == F.col("t_bin"), F.col("p"))) / F.nullif(F.sum("p"), F.lit(0.0))).alias("producer"))
     return rows.join(cols, [*by, "class"], "full")
 
 

@@ -56,6 +56,6 @@ def best_match(predicted: DataFrame, truth: DataFrame, p: str, t: str, row: str
 
 def continuous_stats(v: str = "v") -> dict[str, Column]:
     """Mean, median, variance and deviation (population) and range."""
-    x, n = F.col(v).cast("long"), F.count(v)
+    x, n = F.col(v).cast("long"), F.nullif(F.count(v), F.lit(0))
     var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double") / (n * n)
     return {"mean": F.avg(v), "median": F.median(v), "variance": var, "stdv": F.sqrt(var), "range": F.max(v) - F.min(v)}

@@ -27,14 +27,28 @@ def place_grid(spark: SparkSession, cell: tuple[int, int], bounds: tuple[int, in
     return cells.select(number.alias("cell_id"), "ul_x", "ul_y", (F.col("ul_x") + step_x).alias("lr_x"), (F.col("ul_y") + step_y).alias("lr_y"))
 
 
+def drawn_apart(n: int, span: Column, cell: str, seed: int) -> Column:
+    """Array of ``n`` offsets in [0, span), each value at most once (twice only where ``n`` exceeds the span), drawn by Floyd's method."""
+
+    def step(taken: Column, k: Column) -> Column:
+        last = F.greatest(span - n + k, F.lit(0))
+        pick = shuffled(seed, cell, k) % (last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), last).otherwise(pick)))
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.array().cast("array<bigint>"), step)
+
+
 def sets_in_cells(cells: DataFrame, n: int, size: tuple[int, int], res: tuple[int, int], origin: tuple[int, int], seed: int = 1) -> DataFrame:
-    """``n`` support sets of ``size`` = (y, x) around random lattice points of each cell: set_id, cell_id, corners and centre."""
-    k = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    """``n`` support sets of ``size`` = (y, x) around random lattice points of each cell: set_id, cell_id, corners and centre.
+
+    The x of a cell's centres are drawn without replacement, and so are the y, each axis by itself.
+    """
+    span = lambda low, high: F.greatest(F.abs(F.col(high) - F.col(low)), F.lit(1)).cast("long")
+    drawn = cells.withColumn("_x", drawn_apart(n, span("ul_x", "lr_x"), "cell_id", 2 * seed)).withColumn("_y", drawn_apart(n, span("ul_y", "lr_y"), "cell_id", 2 * seed + 1))
+    k = drawn.select("*", F.posexplode(F.arrays_zip("_x", "_y")).alias("k", "_c"))
 
-    def axis(low: Column, high: Column, r: int, o: int, s: int) -> Column:
-        span = F.greatest(F.abs(high - low), F.lit(1))
-        c = F.least(low, high) + shuffled(s, "cell_id", "k") % span
-        return truncated(c / r) * r - floor_mod(F.lit(o), r)
+    def axis(low: Column, high: Column, r: int, o: int, offset: Column) -> Column:
+        return truncated((F.least(low, high) + offset) / r) * r - floor_mod(F.lit(o), r)
 
     def corner(c: Column, length: int, r: int, end: int) -> Column:
         sign = (1 if r > 0 else -1) * end
@@ -42,7 +56,7 @@ def sets_in_cells(cells: DataFrame, n: int, size: tuple[int, int], res: tuple[in
         rest = half % abs(r)
         return F.round(c + (half + (-rest if end > 0 else rest)) * sign).cast("long")
 
-    k = k.withColumn("ctr_x", axis(F.col("ul_x"), F.col("lr_x"), res[0], origin[0], seed)).withColumn("ctr_y", axis(F.col("ul_y"), F.col("lr_y"), res[1], origin[1], seed + 1))
+    k = k.withColumn("ctr_x", axis(F.col("ul_x"), F.col("lr_x"), res[0], origin[0], F.col("_c._x"))).withColumn("ctr_y", axis(F.col("ul_y"), F.col("lr_y"), res[1], origin[1], F.col("_c._y")))
     x, y = F.col("ctr_x"), F.col("ctr_y")
     return k.select(
         (F.col("cell_id") * n + F.col("k")).alias("set_id"), "cell_id",

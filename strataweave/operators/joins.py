@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import inside_array, overlap
+from ..functions.numeric import shuffled
 
 
 def _bins(low: Column, high: Column, width: float) -> Column:
@@ -107,7 +107,7 @@ def picked_apart(tiles: DataFrame, n: int, least: float, seed: int = 1) -> DataF
     import pandas as pd
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[(t * 48271 + seed * 69621) % 2147483647 for t in pdf.tile_id]).sort_values(["key", "tile_id"])
+        pdf = pdf.sort_values(["key", "tile_id"])
         share = pdf.groupby("stratum").area.sum() / pdf.area.sum()
         picks: list = []
         for stratum in sorted(share.index):
@@ -118,7 +118,7 @@ def picked_apart(tiles: DataFrame, n: int, least: float, seed: int = 1) -> DataF
                     quota -= 1
         return pd.DataFrame([(p.tile_id, p.stratum, k % 2) for k, p in enumerate(picks)], columns=["tile_id", "stratum", "half"])
 
-    return tiles.filter("upper(stratum) <> 'WATER'").groupBy().applyInPandas(walk, "tile_id long, stratum string, half long")
+    return tiles.filter("upper(stratum) <> 'WATER'").withColumn("key", shuffled(seed, "tile_id")).groupBy().applyInPandas(walk, "tile_id long, stratum string, half long")
 
 
 def merged_inventory(inventory: DataFrame, scores: DataFrame, key: str) -> DataFrame:
@@ -146,6 +146,3 @@ def empty_tiles(tiles: DataFrame, pixels: DataFrame, tile: str = "tile_id") -> D
     """Tiles without a valid pixel."""
     return tiles.join(pixels.select(tile).distinct(), tile, "left_anti")
 
-
-def ranked(order: Sequence[Column], by: Sequence[str] = ()) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -24,14 +24,15 @@ def best_splits(samples: DataFrame, by: str, features: Sequence[str], target: st
     d = long_.groupBy(by, "feature", "v").agg(F.count("*").alias("n"), F.sum(t).alias("s"))
     own = Window.partitionBy(by, "feature")
     run = own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.select("*", F.sum("n").over(run).alias("nl"), F.sum("s").over(run).alias("sl"), F.sum("n").over(own).alias("nt"), F.sum("s").over(own).alias("st"), F.lead("v").over(own.orderBy("v")).alias("nv"))
+    whole = own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.select("*", F.sum("n").over(run).alias("nl"), F.sum("s").over(run).alias("sl"), F.sum("n").over(whole).alias("nt"), F.sum("s").over(whole).alias("st"), F.lead("v").over(own.orderBy("v")).alias("nv"))
     nr, sr = F.col("nt") - F.col("nl"), F.col("st") - F.col("sl")
     sq = lambda s, n: s.cast("double") * s / n
     gain = F.round(sq(F.col("sl"), F.col("nl")) + sq(sr, nr) - sq(F.col("st"), F.col("nt")), 4)
     least = F.ceil(F.col("nt") * share)
     ok = d.filter(F.col("nv").isNotNull() & (F.col("nl") >= least) & (nr >= least)).withColumn("gain", gain).withColumn("threshold", (F.col("v") + F.col("nv")) / 2)
-    first = F.row_number().over(own.orderBy(F.desc("gain"), "threshold"))
-    return ok.withColumn("_r", first).filter("_r = 1").select(by, "feature", "gain", "threshold", F.col("nl").alias("n_left"))
+    best = F.max(F.struct("gain", (-F.col("threshold")).alias("neg"), "nl")).alias("_b")  # partitioned and sorted by (set, feature) already
+    return ok.groupBy(by, "feature").agg(best).select(by, "feature", F.col("_b.gain").alias("gain"), (-F.col("_b.neg")).alias("threshold"), F.col("_b.nl").alias("n_left"))
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: float = 0.005, depth: int = 30) -> list[tuple]:
@@ -144,7 +145,7 @@ def without(sets: DataFrame, expression: str | None, metrics: Sequence[str]) ->
 def importances(nodes: DataFrame) -> DataFrame:
     """(set_id, variable, importance): each feature's share of a tree's gain."""
     g = nodes.filter("feature IS NOT NULL").groupBy("set_id", F.col("feature").alias("variable")).agg(F.sum("gain").alias("_g"))
-    return g.select("set_id", "variable", (F.col("_g") / F.sum("_g").over(Window.partitionBy("set_id"))).alias("importance"))
+    return g.select("set_id", "variable", (F.col("_g") / F.nullif(F.sum("_g").over(Window.partitionBy("set_id")), F.lit(0.0))).alias("importance"))
 
 
 def most_important(importance: DataFrame) -> DataFrame:
@@ -168,12 +169,21 @@ def forest_members(samples: DataFrame, trees: int, share: float = 0.63, seed: in
 
 
 def error_by_trees(predictions: DataFrame, truth: str, key: str = "obs_id") -> DataFrame:
-    """(n_trees, error): the vote's error of the first n trees, for every n, from one running count."""
-    trees = predictions.select("set_id").distinct()
-    n = trees.count()
-    upto = predictions.withColumn("n_trees", F.explode(F.sequence(F.col("set_id").cast("int") + 1, F.lit(n))))
-    vote = upto.groupBy("n_trees", key, truth).agg(F.mode("prediction", True).alias("vote"))
-    return vote.groupBy("n_trees").agg(F.avg((F.col("vote") != F.col(truth)).cast("int")).alias("error"))
+    """(n_trees, error): the error of the vote of the first n trees (set_id below n) among the rows that have one, ties of a
+    vote to the smallest class, for every n at which a tree adds a prediction.
+
+    A row's vote can only change where a tree predicts it, so each prediction adds what it changes to its n, and a
+    running sum over the trees gives the curve: the work doesn't grow with rows times trees.
+    """
+    order = Window.partitionBy(key).orderBy("set_id")
+    own = predictions.withColumn("_k", F.row_number().over(Window.partitionBy(key, "prediction").orderBy("set_id")))
+    # a class's count only grows, so the largest (count, -class) so far is the present vote
+    best = F.max(F.struct("_k", (-F.col("prediction")).alias("neg"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wrong = own.select(key, "set_id", (-best["neg"] != F.col(truth)).cast("long").alias("_wrong"))
+    step = wrong.select((F.col("set_id") + 1).cast("int").alias("n_trees"), (F.col("_wrong") - F.lag("_wrong", 1, 0).over(order)).alias("_d"), (F.row_number().over(order) == 1).cast("long").alias("_new"))
+    each = step.groupBy("n_trees").agg(F.sum("_d").alias("_d"), F.sum("_new").alias("_new"))
+    run = Window.orderBy("n_trees")  # a row for each tree
+    return each.select("n_trees", (F.sum("_d").over(run) / F.sum("_new").over(run)).alias("error"))
 
 
 def mllib_forest(samples: DataFrame, features: Sequence[str], target: str, kind: str = "classifier", trees: int = 50, depth: int = 10, seed: int = 1, scored: DataFrame | None = None):
@@ -189,17 +199,6 @@ def mllib_forest(samples: DataFrame, features: Sequence[str], target: str, kind:
     return model.transform(vectors if scored is None else assembler.transform(scored))
 
 
-def split_path(nodes: Sequence[tuple], features: Sequence[str]) -> Column:
-    """A small tree as one nested CASE, to stay inside generated code."""
-    by_id = {n[0]: n for n in nodes}
-
-    def at(k: int) -> Column:
-        _, f, threshold, left, right, value, *_ = by_id[k]
-        return F.lit(value) if f < 0 else F.when(F.col(features[f]) <= threshold, at(left)).otherwise(at(right))
-
-    return at(0)
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

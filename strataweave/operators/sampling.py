@@ -80,7 +80,7 @@ def within_limits(sizes: DataFrame, n: int, low: float | None, high: float | Non
 def drawn(df: DataFrame, sizes: DataFrame, value: str, bins: Sequence[tuple[float, float]], key: Sequence[str], by: Sequence[str] = (), seed: int = 1) -> DataFrame:
     """``size`` rows of each stratum at random, all of one that has fewer; only as many leave each task as are wanted in all."""
     on = [*by, "bin"]
-    rows = df.withColumn("bin", binned(F.col(value), bins)).filter("bin IS NOT NULL").join(F.broadcast(sizes.select(*on, "size")), on)
+    rows = df.withColumn("bin", binned(F.col(value), bins)).filter("bin IS NOT NULL").join(sizes.select(*on, "size"), on)
     order = [shuffled(seed, *key), *key]
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).filter(F.col("_r") <= F.col("size")).drop("_r", "size")
 
@@ -107,5 +107,5 @@ def balanced_trials(df: DataFrame, trials: int, per_cell: int, cell: str, key: s
 
 def tile_quota(tiles: DataFrame, n: int) -> DataFrame:
     """``pct_area`` and ``n_sample`` of each tile by its area."""
-    share = F.col("area") / F.sum("area").over(Window.partitionBy())
+    share = F.col("area") / F.nullif(F.sum("area").over(Window.partitionBy()), F.lit(0))
     return tiles.withColumn("pct_area", share).withColumn("n_sample", F.floor(F.col("pct_area") * n))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from ..functions.numeric import start_key
 from .fixtures import sql
 
 S = "2147483647"
 
 
 def _shuffled(seed: int, *ids: str) -> str:
-    return f"((({seed} + " + " + ".join(f"CAST({x} AS BIGINT) * {m}" for x, m in zip(ids, (48271, 69621, 16807, 39373), strict=False)) + f") * 16807 + 12345) % {S})"
+    key = str(start_key(seed))
+    square = lambda h, plus: f"(({h}) * ({h}) + {plus}) % {S}"
+    for x, m in zip(ids, (48271, 69621, 16807, 39373), strict=False):
+        key = square(f"(({key}) + (CAST({x} AS BIGINT) % {S}) * {m}) % {S}", 104729)
+    return f"({square(key, 1299709)})"
 
 
 def _fmod(a: str, n: str) -> str:
@@ -61,7 +66,7 @@ def _cells(by: str = "") -> str:
     match = f"AND c.{by} = w.{by}" if by else ""
     seen = f"SELECT {g} p_bin FROM cnt" if by else "SELECT p_bin FROM cnt"
     return f"""{BINS},
-smp AS (SELECT * FROM px WHERE (px_row * 7 + px_col) % 5 = 0),
+smp AS (SELECT * FROM px),
 cnt AS (SELECT {g} p.b AS p_bin, t.b AS t_bin, count(*) AS n FROM smp JOIN bins p ON pred > p.lo AND pred <= p.hi JOIN bins t ON truth > t.lo AND truth <= t.hi GROUP BY ALL),
 kept AS (SELECT * FROM cnt WHERE ({g} t_bin) IN ({seen})),
 wgt AS (SELECT *, n_map / CAST(sum(n_map) OVER ({part}) AS DOUBLE) AS weight FROM (SELECT {g} b AS p_bin, count(*) AS n_map FROM px JOIN bins ON pred > lo AND pred <= hi GROUP BY ALL)),
@@ -95,9 +100,21 @@ def _inside(shift: int = 0) -> str:
 
 
 _bag = f"bag AS (SELECT set_id, obs_id, target, CASE WHEN r <= k THEN 1 ELSE 0 END AS in_bag, k FROM (SELECT *, CAST(floor(count(*) OVER (PARTITION BY set_id) * CAST(0.63 AS DOUBLE)) AS BIGINT) AS k, row_number() OVER (PARTITION BY set_id ORDER BY {_shuffled(1, 'obs_id', 'set_id')}, obs_id) AS r FROM members))"
+_PIXEL_TILES = "SELECT CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT) FROM px WHERE truth"
 _areas = "areas AS (SELECT * FROM tiles WHERE tile_id % 3 = 0)"
 _grid = "cells AS (SELECT CAST((j + 3) * 3 + i + 1 AS BIGINT) AS cell_id, 411 + i * 1500 AS ul_x, -1000 + j * 900 AS ul_y, 411 + i * 1500 + 1500 AS lr_x, -1000 + j * 900 - 900 AS lr_y FROM (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-3, 3)) AS j))"
 
+def _floyd(axis: str, span: int, seed: int, source: str, n: int = 4) -> str:
+    """Tables that add a centre each, drawn from ``span`` values without replacement."""
+    out = []
+    for k in range(n):
+        last, taken = span - n + k, ", ".join([f"{axis}{j}" for j in range(k)] or ["-1"])
+        pick = f"{_shuffled(seed, 'cell_id', str(k))} % {last + 1}"
+        out.append(f"{axis}{k + 1} AS (SELECT *, CASE WHEN {pick} IN ({taken}) THEN {last} ELSE {pick} END AS {axis}{k} FROM {source})")
+        source = f"{axis}{k + 1}"
+    return ", ".join(out)
+
+
 _RAW: dict[str, str] = {
     "grid_rowcol": f"SELECT obs_id, px_row AS \"row\", px_col AS \"col\" FROM (SELECT obs_id, {ROWCOL} FROM obs)",
     "grid_xy_inverse": "SELECT px_row, px_col, CAST(15 + px_col * 30 AS BIGINT) AS x, CAST(-15 - px_row * 30 AS BIGINT) AS y FROM px",
@@ -113,17 +130,18 @@ SELECT p_partkey, round(CASE WHEN len(n) = 1 THEN 100 - CASE WHEN n[1] < 1 THEN
     "raster_bounds": "SELECT set_id, ul_x AS min_x, ul_y - 1200 AS min_y, ul_x + 1200 AS max_x, ul_y AS max_y FROM sset",
     "set_wkt": "SELECT set_id, 'POLYGON ((' || ul_x || ' ' || ul_y || ', ' || lr_x || ' ' || ul_y || ', ' || lr_x || ' ' || lr_y || ', ' || ul_x || ' ' || lr_y || ', ' || ul_x || ' ' || ul_y || '))' AS wkt, 5 AS n_points FROM sset",
     "grid_cells": f"WITH {_grid} SELECT cell_id, CAST(ul_x AS BIGINT) AS ul_x, CAST(ul_y AS BIGINT) AS ul_y, CAST(lr_x AS BIGINT) AS lr_x, CAST(lr_y AS BIGINT) AS lr_y FROM cells",
-    "sets_per_cell": f"""WITH {_grid}, k AS (SELECT *, unnest(range(0, 4)) AS k FROM cells),
-c AS (SELECT *, trunc((least(ul_x, lr_x) + {_shuffled(1, 'cell_id', 'k')} % 1500) / CAST(30 AS DOUBLE)) * 30 AS cx, trunc((least(ul_y, lr_y) + {_shuffled(2, 'cell_id', 'k')} % 900) / CAST(-30 AS DOUBLE)) * -30 AS cy FROM k)
-SELECT cell_id * 4 + k AS set_id, cell_id, CAST(cx - 600 AS BIGINT) AS ul_x, CAST(cy + 600 AS BIGINT) AS ul_y, CAST(cx + 600 AS BIGINT) AS lr_x, CAST(cy - 600 AS BIGINT) AS lr_y FROM c""",
+    "sets_per_cell": f"""WITH {_grid}, {_floyd('x', 1500, 2, 'cells')}, {_floyd('y', 900, 3, 'x4')},
+k AS (SELECT *, unnest([[0, x0, y0], [1, x1, y1], [2, x2, y2], [3, x3, y3]]) AS c FROM y4),
+c AS (SELECT *, c[1] AS k, trunc((least(ul_x, lr_x) + c[2]) / CAST(30 AS DOUBLE)) * 30 AS cx, trunc((least(ul_y, lr_y) + c[3]) / CAST(-30 AS DOUBLE)) * -30 AS cy FROM k)
+SELECT CAST(cell_id * 4 + k AS BIGINT) AS set_id, cell_id, CAST(cx - 600 AS BIGINT) AS ul_x, CAST(cy + 600 AS BIGINT) AS ul_y, CAST(cx + 600 AS BIGINT) AS lr_x, CAST(cy - 600 AS BIGINT) AS lr_y FROM c""",
     "param_parse": "SELECT * FROM (VALUES ('bins', '-1:10, 10:20'), ('constantvars', 'K:1, L:2'), ('n_jobs', '4')) t(\"key\", \"value\")",
     "time_series_params": "SELECT CAST(y AS INT) AS year, CAST(y - 1983 AS INT) AS band, 'predict_' || y || '.txt' AS file FROM (SELECT unnest(range(1990, 2013)) AS y)",
     "pixel_set_overlap": "SELECT set_id, count(*) AS n_pixels, CAST(sum(truth) AS BIGINT) AS sum_truth FROM pxset GROUP BY set_id",
     "sample_set_range_join": "SELECT set_id, count(*) AS n_samples, CAST(sum(obs_id) AS BIGINT) AS sum_obs, CAST(sum(target) AS BIGINT) AS sum_target FROM members GROUP BY set_id",
     "unique_set_combos": "SELECT combo, count(*) AS n_pixels FROM (SELECT px_row, px_col, string_agg(set_id, ',' ORDER BY set_id) AS combo FROM pxset GROUP BY ALL) GROUP BY combo",
     "set_tile_overlap": f"WITH {TILES}, o AS (SELECT tile_id, (least(lr_x, tx2) - greatest(ul_x, tx1)) AS w, (least(ul_y, ty1) - greatest(lr_y, ty2)) AS h FROM sset, tiles) SELECT tile_id, count(*) AS n_sets, CAST(sum(w * h) AS BIGINT) AS area FROM o WHERE w > 0 AND h > 0 GROUP BY tile_id",
-    "semi_overlap": f"WITH {TILES} SELECT tile_id FROM tiles WHERE EXISTS (SELECT 1 FROM sset WHERE set_id % 10 = 0 AND ul_x < tx2 AND lr_x > tx1 AND lr_y < ty1 AND ul_y > ty2)",
-    "empty_tiles_anti": f"WITH {TILES} SELECT tile_id FROM tiles WHERE tile_id NOT IN (SELECT CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT) FROM px WHERE truth > 90)",
+    "semi_overlap": f"WITH {TILES}, dark AS (SELECT * FROM tiles WHERE tile_id NOT IN ({_PIXEL_TILES} > 97)) SELECT set_id FROM sset WHERE EXISTS (SELECT 1 FROM dark WHERE ul_x < tx2 AND lr_x > tx1 AND lr_y < ty1 AND ul_y > ty2)",
+    "empty_tiles_anti": f"WITH {TILES} SELECT tile_id FROM tiles WHERE tile_id NOT IN ({_PIXEL_TILES} > 98)",
     "lookup_predictors": f"SELECT obs_id, nullif(truth, 50) AS value FROM (SELECT obs_id, {ROWCOL} FROM obs) LEFT JOIN px USING (px_row, px_col)",
     "extract_pivot_by_year": f"SELECT obs_id, truth AS var_1995, truth + 1 AS var_1996, truth + 2 AS var_1997 FROM (SELECT obs_id, {ROWCOL} FROM obs) JOIN px USING (px_row, px_col)",
     "dropped_nulls": "SELECT CASE WHEN f_size = 7 OR f_tax = 0 THEN 'dropped' ELSE 'kept' END AS part, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS ids FROM obs GROUP BY 1",
@@ -157,7 +175,7 @@ SELECT cell_id * 4 + k AS set_id, cell_id, CAST(cx - 600 AS BIGINT) AS ul_x, CAS
     "partial_ranges": "SELECT CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT) AS tile, min(v) AS low, max(v) AS high FROM setpred GROUP BY 1",
     "oob_map": "SELECT px_row, px_col, CAST(floor(sum((set_id * 7) % 101) / CAST(count(*) AS DOUBLE)) AS INT) AS oob_rate, count(*) AS count FROM pxset GROUP BY ALL",
     "importance_share_rank": f"WITH {IMPORTANCE}, m AS (SELECT variable, avg(i) AS m FROM imp GROUP BY 1), p AS (SELECT variable, m / sum(m) OVER () AS p FROM m) SELECT variable, round(p, 4) AS pct_importance, CAST(row_number() OVER (ORDER BY p DESC, variable) AS INT) AS rank FROM p",
-    "importance_map": f"WITH {IMPORTANCE} SELECT px_row, px_col, variable, CAST(round_even(avg(i), 0) AS INT) AS importance FROM pxset JOIN imp USING (set_id) WHERE variable IN ('f_disc', 'f_tax') GROUP BY ALL",
+    "importance_map": f"WITH {IMPORTANCE} SELECT px_row, px_col, variable, CAST(round_even(avg(i), 0) AS INT) AS importance FROM pxset JOIN imp USING (set_id) GROUP BY ALL",
     "max_importance": f"WITH {IMPORTANCE} SELECT set_id, variable FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY i DESC, variable) AS r FROM imp) WHERE r = 1",
     "map_errors": "SELECT round(sqrt(avg((pred - truth) * (pred - truth))), 4) AS rmse, round(sqrt(avg((CAST(100 AS DOUBLE) * (truth - pred) / nullif(truth, 0)) * (CAST(100 AS DOUBLE) * (truth - pred) / nullif(truth, 0)))), 4) AS rmspe, round(avg(abs(pred - truth)), 4) AS mae, round(1 - sum((truth - pred) * (truth - pred)) / (CAST(sum(truth * truth) AS DOUBLE) - CAST(sum(truth) AS DOUBLE) * sum(truth) / count(*)), 4) AS r2 FROM px",
     "agree_coef": f"WITH {_agree('SELECT truth AS x, pred AS y FROM px')} SELECT round(ac, 4) AS ac, round(ac_s, 4) AS ac_s, round(ac_u, 4) AS ac_u, round(ssd, 0) AS ssd FROM agree",
@@ -201,7 +219,7 @@ SELECT set_id, feature, gain, threshold, CAST(nl AS BIGINT) AS n_left FROM (SELE
     "oob_kappa": "WITH c AS (SELECT set_id, floor(truth / 20) AS t, floor(v / 20) AS p, count(*) AS n FROM setpred GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY set_id, t) AS rt, sum(n) OVER (PARTITION BY set_id, p) AS rp FROM c), s AS (SELECT set_id, CAST(sum(n) AS DOUBLE) AS nn, sum(CASE WHEN t = p THEN n ELSE 0 END) AS ok, sum(CASE WHEN t = p THEN rt * rp ELSE 0 END) AS e FROM m GROUP BY 1) SELECT set_id, CAST(round(100 * (ok / nn)) AS INT) AS oob_rate, round((ok / nn - e / (nn * nn)) / nullif(1 - e / (nn * nn), 0), 4) AS oob_kappa FROM s",
     "oob_drop": "SELECT set_id, (set_id * 7) % 101 AS oob_rate FROM sset WHERE NOT (set_id * 7) % 101 >= 50",
     "important_features": "WITH s AS (SELECT target_class AS class, CASE WHEN f_size > 25 THEN 'f_size' WHEN f_tax > CAST(0.04 AS DOUBLE) THEN 'f_tax' ELSE 'f_disc' END AS feature, CAST(sum(target) AS BIGINT) AS n FROM obs GROUP BY ALL) SELECT class, feature, n FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, feature) AS r FROM s) WHERE r = 1",
-    "ntrees_curve": "WITH p AS (SELECT set_id - 1 AS s, px_row * 100 + px_col AS o, floor(truth / 25) AS t, floor(v / 25) AS p FROM setpred WHERE set_id BETWEEN 1 AND 8), u AS (SELECT k AS n_trees, o, t, p, count(*) AS n FROM p, (SELECT unnest(range(1, 9)) AS k) WHERE s < k GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY n_trees, o ORDER BY n DESC, p) AS r FROM u) SELECT CAST(n_trees AS INT) AS n_trees, round(avg(CASE WHEN p <> t THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS error FROM b WHERE r = 1 GROUP BY 1",
+    "ntrees_curve": "WITH p AS (SELECT set_id - 1 AS s, px_row * 100 + px_col AS o, CAST(floor(truth / 25) AS INT) AS t, CAST(floor(v / 25) AS INT) AS p FROM setpred), m AS (SELECT DISTINCT s + 1 AS k FROM p), u AS (SELECT k AS n_trees, o, t, p, count(*) AS n FROM p, m WHERE s < k GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY n_trees, o ORDER BY n DESC, p) AS r FROM u) SELECT CAST(n_trees AS INT) AS n_trees, round(avg(CASE WHEN p <> t THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS error FROM b WHERE r = 1 GROUP BY 1",
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in _RAW.items()}

@@ -41,6 +41,11 @@ def _tiles(spark, d) -> DataFrame:
     )
 
 
+def _pixel_tiles(spark, d, above: int) -> DataFrame:
+    """The tile of every pixel whose value counts as valid: above a limit."""
+    return fx.pixels(spark, d).filter(F.col("truth") > above).select((F.floor(F.col("px_row") / 5) * 4 + F.floor(F.col("px_col") / 25)).alias("tile_id"))
+
+
 # grid and scalars
 
 
@@ -171,14 +176,13 @@ def set_tile_overlap(spark, d):
 
 @query
 def semi_overlap(spark, d):
-    few = fx.sets(spark, d).filter("set_id % 10 = 0")
-    return joins.touching_any(_tiles(spark, d), few, fx.BIN, "tile_id", ("tx1", "ty1", "tx2", "ty2"), CORNERS).select("tile_id")
+    dark = joins.empty_tiles(_tiles(spark, d), _pixel_tiles(spark, d, 97))
+    return joins.touching_any(fx.sets(spark, d), dark, fx.BIN, "set_id", CORNERS, ("tx1", "ty1", "tx2", "ty2")).select("set_id")
 
 
 @query
 def empty_tiles_anti(spark, d):
-    p = fx.pixels(spark, d).filter("truth > 90").select((F.floor(F.col("px_row") / 5) * 4 + F.floor(F.col("px_col") / 25)).alias("tile_id"))
-    return joins.empty_tiles(_tiles(spark, d), p).select("tile_id")
+    return joins.empty_tiles(_tiles(spark, d), _pixel_tiles(spark, d, 98)).select("tile_id")
 
 
 @query
@@ -305,7 +309,7 @@ def stratified_minmax(spark, d):
 def zone_holdout(spark, d):
     p = fx.pixels(spark, d)
     z = sa.zone_split(p, "zone", 0.7)
-    return p.join(F.broadcast(z), "zone").groupBy("is_train").agg(F.count("*").alias("n"), F.sum("truth").alias("total"))
+    return p.join(z, "zone").groupBy("is_train").agg(F.count("*").alias("n"), F.sum("truth").alias("total"))
 
 
 @query
@@ -386,7 +390,7 @@ def importance_share_rank(spark, d):
 
 @query
 def importance_map(spark, d):
-    i = _importance(spark, d).filter("variable IN ('f_disc', 'f_tax')").withColumn("importance", F.col("importance") + 0.001)
+    i = _importance(spark, d).withColumn("importance", F.col("importance") + 0.001)
     return en.importance_map(fx.pixel_sets(spark, d), i, PIXEL)
 
 
@@ -429,8 +433,7 @@ def confusion_counts(spark, d):
 
 def _cells(spark, d, by=()):
     p = fx.pixels(spark, d)
-    s = p.filter("(px_row * 7 + px_col) % 5 = 0")
-    return ev.adjusted(ev.confusion_counts(s, "pred", "truth", TENTHS, by), ev.area_weights(p, "pred", TENTHS, by), by)
+    return ev.adjusted(ev.confusion_counts(p, "pred", "truth", TENTHS, by), ev.area_weights(p, "pred", TENTHS, by), by)
 
 
 @query
@@ -467,8 +470,7 @@ def region_eval(spark, d):
 @query
 def area_weighted_rmse(spark, d):
     p = fx.pixels(spark, d)
-    s = p.filter("(px_row * 7 + px_col) % 5 = 0")
-    return ev.area_weighted_rmse(s, "pred", "truth", TENTHS, ev.area_weights(p, "pred", TENTHS)).select(r("area_weighted_rmse").alias("area_weighted_rmse"))
+    return ev.area_weighted_rmse(p, "pred", "truth", TENTHS, ev.area_weights(p, "pred", TENTHS)).select(r("area_weighted_rmse").alias("area_weighted_rmse"))
 
 
 @query
@@ -628,7 +630,7 @@ def forest_vote(spark, d):
 
 @query
 def ntrees_curve(spark, d):
-    p = fx.predictions(spark, d).filter("set_id <= 8 AND set_id >= 1").select((F.col("set_id") - 1).alias("set_id"), (F.col("px_row") * 100 + F.col("px_col")).alias("obs_id"), F.floor(F.col("truth") / 25).alias("t"), F.floor(F.col("v") / 25).alias("prediction"))
+    p = fx.predictions(spark, d).select((F.col("set_id") - 1).alias("set_id"), (F.col("px_row") * 100 + F.col("px_col")).alias("obs_id"), F.floor(F.col("truth") / 25).alias("t"), F.floor(F.col("v") / 25).alias("prediction"))
     return model.error_by_trees(p, "t").select("n_trees", r("error").alias("error"))
 
 

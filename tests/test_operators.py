@@ -163,3 +163,48 @@ def test_row_ids_number_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 7).alias("j"))
     got = numeric.row_ids(df, "k", ["k", "j"], "n", buckets=16).orderBy("n").collect()
     assert [r.n for r in got] == list(range(1000)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_bags_and_seeds_are_independent(spark):
+    members = spark.range(2000).select(F.col("id").alias("obs_id"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("set_id"))
+    for column, other in ((numeric.shuffled(1, "obs_id", "set_id"), "set_id"), (numeric.shuffled(1, "set_id", "obs_id"), "set_id")):
+        pdf = members.select("obs_id", other, column.alias("k")).toPandas()
+        bags = np.array([(g.sort_values(["k", "obs_id"]).obs_id.to_numpy()[:1260, None] == np.arange(2000)).any(0) for _, g in pdf.groupby(other)], float)
+        spread = np.corrcoef(bags)[np.triu_indices(60, 1)]
+        assert spread.std() < 0.03 and abs(spread).max() < 0.12  # independent draws: 0.022, about 0.08
+    seeds = spark.range(2000).select("id", *[numeric.shuffled(s, "id").alias(f"s{s}") for s in range(30)]).toPandas()
+    ranks = seeds.drop(columns="id").rank().corr().to_numpy()[np.triu_indices(30, 1)]
+    assert abs(ranks).max() < 0.1
+
+
+def test_centres_are_drawn_without_replacement_on_both_axes(spark):
+    cells = spark.createDataFrame([(c, 0, 0, 50, -50) for c in range(40)], "cell_id long, ul_x long, ul_y long, lr_x long, lr_y long")
+    sets = grid.sets_in_cells(cells, 24, (10, 10), (1, -1), (0, 0)).toPandas()
+    for _, g in sets.groupby("cell_id"):
+        assert g.ctr_x.nunique() == 24 and g.ctr_y.nunique() == 24
+    assert abs(np.corrcoef(sets.ctr_x, sets.ctr_y)[0, 1]) < 0.15 and sets.ctr_x.nunique() > 45
+    assert len({(y - x) % 50 for x, y in zip(sets.ctr_x, sets.ctr_y)}) > 40
+
+
+def test_constant_groups_give_null(spark):
+    df = spark.createDataFrame([(1, 5, 5), (1, 5, 5), (2, 1, 5), (2, 3, 5), (3, 1, 2), (3, 4, 5)], "g int, x int, y int")
+    got = {r.g: r for r in evaluate.agreement(df, "x", "y", ["g"]).collect()}
+    assert got[1].ac is None and got[2].ac_u is None and got[2].ac is not None and got[3].ac is not None
+    assert df.filter("g = 2").agg(evaluate.r2("y", "x").alias("v")).first().v is None
+    votes = spark.createDataFrame([(0, 0, 900, 0), (0, 1, 4, 4)], "r int, c int, v int, m int")
+    assert {r.c: r.weighted_mean for r in ensemble.gaussian_mean(votes, ["r", "c"], "v", "m").collect()} == {0: None, 1: 4}
+    empty = spark.createDataFrame([(1, None)], "g int, v int")
+    assert empty.groupBy("g").agg(numeric.pop_std("v").alias("s")).first().s is None
+
+
+def test_error_curve_equals_a_vote_for_every_number_of_trees(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(t), int(o), int(rng.integers(3)), int(o % 3)) for o in range(30) for t in range(12) if rng.random() < 0.6]
+    got = {r.n_trees: r.error for r in model.error_by_trees(spark.createDataFrame(rows, "set_id int, obs_id int, prediction int, t int"), "t").collect()}
+    for n, error in got.items():
+        wrong = []
+        for o in {r[1] for r in rows if r[0] < n}:
+            own = [r[2] for r in rows if r[1] == o and r[0] < n]
+            wrong.append(min(set(own), key=lambda c: (-own.count(c), c)) != o % 3)
+        assert error == pytest.approx(np.mean(wrong))
+    assert max(got) == 12
