@@ -28,14 +28,17 @@ def place_grid(spark: SparkSession, cell: tuple[int, int], bounds: tuple[int, in
 
 
 def drawn_apart(n: int, span: Column, cell: str, seed: int) -> Column:
-    """Array of ``n`` offsets in [0, span), each value at most once (twice only where ``n`` exceeds the span), drawn by Floyd's method."""
+    """Array of ``n`` offsets in [0, span), each value at most once (twice only where ``n`` exceeds the span), drawn by Floyd's
+    method and then put in a random order, as that method draws larger values later."""
 
     def step(taken: Column, k: Column) -> Column:
         last = F.greatest(span - n + k, F.lit(0))
         pick = shuffled(seed, cell, k) % (last + 1)
         return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), last).otherwise(pick)))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.array().cast("array<bigint>"), step)
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.array().cast("array<bigint>"), step)
+    keyed = F.transform(drawn, lambda v: F.struct(shuffled(seed, v, cell).alias("k"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
 
 
 def sets_in_cells(cells: DataFrame, n: int, size: tuple[int, int], res: tuple[int, int], origin: tuple[int, int], seed: int = 1) -> DataFrame:

@@ -131,8 +131,9 @@ SELECT p_partkey, round(CASE WHEN len(n) = 1 THEN 100 - CASE WHEN n[1] < 1 THEN
     "set_wkt": "SELECT set_id, 'POLYGON ((' || ul_x || ' ' || ul_y || ', ' || lr_x || ' ' || ul_y || ', ' || lr_x || ' ' || lr_y || ', ' || ul_x || ' ' || lr_y || ', ' || ul_x || ' ' || ul_y || '))' AS wkt, 5 AS n_points FROM sset",
     "grid_cells": f"WITH {_grid} SELECT cell_id, CAST(ul_x AS BIGINT) AS ul_x, CAST(ul_y AS BIGINT) AS ul_y, CAST(lr_x AS BIGINT) AS lr_x, CAST(lr_y AS BIGINT) AS lr_y FROM cells",
     "sets_per_cell": f"""WITH {_grid}, {_floyd('x', 1500, 2, 'cells')}, {_floyd('y', 900, 3, 'x4')},
-k AS (SELECT *, unnest([[0, x0, y0], [1, x1, y1], [2, x2, y2], [3, x3, y3]]) AS c FROM y4),
-c AS (SELECT *, c[1] AS k, trunc((least(ul_x, lr_x) + c[2]) / CAST(30 AS DOUBLE)) * 30 AS cx, trunc((least(ul_y, lr_y) + c[3]) / CAST(-30 AS DOUBLE)) * -30 AS cy FROM k)
+o AS (SELECT *, list_sort(list_transform([x0, x1, x2, x3], lambda v: {{'k': {_shuffled(2, 'v', 'cell_id')}, 'v': v}})) AS xs, list_sort(list_transform([y0, y1, y2, y3], lambda v: {{'k': {_shuffled(3, 'v', 'cell_id')}, 'v': v}})) AS ys FROM y4),
+k AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM o),
+c AS (SELECT *, trunc((least(ul_x, lr_x) + xs[k + 1].v) / CAST(30 AS DOUBLE)) * 30 AS cx, trunc((least(ul_y, lr_y) + ys[k + 1].v) / CAST(-30 AS DOUBLE)) * -30 AS cy FROM k)
 SELECT CAST(cell_id * 4 + k AS BIGINT) AS set_id, cell_id, CAST(cx - 600 AS BIGINT) AS ul_x, CAST(cy + 600 AS BIGINT) AS ul_y, CAST(cx + 600 AS BIGINT) AS lr_x, CAST(cy - 600 AS BIGINT) AS lr_y FROM c""",
     "param_parse": "SELECT * FROM (VALUES ('bins', '-1:10, 10:20'), ('constantvars', 'K:1, L:2'), ('n_jobs', '4')) t(\"key\", \"value\")",
     "time_series_params": "SELECT CAST(y AS INT) AS year, CAST(y - 1983 AS INT) AS band, 'predict_' || y || '.txt' AS file FROM (SELECT unnest(range(1990, 2013)) AS y)",
