@@ -1,20 +1,31 @@
-"""Integer arrays packed into one binary value, each in the fewest of 1, 2, 4 or 8 bytes that hold it from its minimum on."""
+"""Integer arrays packed into one binary value, each in the fewest bytes that hold it from its minimum on, and dealt to buckets."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+#: (bucket, tag, blob): arrays on their way to the task of a bucket; the tag tells what they are.
+DEALT = "bucket int, tag int, blob binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length; unsigned 64-bit hashes stay as they are."""
-    out = [struct.pack("<qi", len(arrays[0]), len(arrays))]
+    """Arrays of one length; unsigned 64-bit hashes stay as they are, a constant takes no room."""
+    n = len(arrays[0])
+    out = [struct.pack("<qi", n, len(arrays))]
     for x in arrays:
-        low = 0 if x.dtype == np.uint64 or not len(x) else int(x.min())
-        top = 1 << 63 if x.dtype == np.uint64 or not len(x) else int(x.max()) - low
-        width = next(w for w in (1, 2, 4, 8) if w == 8 or top < 1 << 8 * w)
-        out += [struct.pack("<qB?", low, width, x.dtype == np.uint64), x.tobytes() if width == 8 and x.dtype == np.uint64 else (x - low).astype(f"<u{width}").tobytes()]
+        plain = x.dtype == np.uint64
+        low = 0 if plain or not n else int(x.min())
+        top = 0 if not n else int(x.max()) - low
+        width = 8 if plain and n else (top.bit_length() + 7) // 8
+        out.append(struct.pack("<qB?", low, width, plain))
+        if width == 8:
+            out.append((x if plain else x.astype(np.int64).view(np.uint64) - np.uint64(low & (1 << 64) - 1)).tobytes())
+        elif width:
+            out.append((x - low).astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].tobytes())
     return b"".join(out)
 
 
@@ -22,7 +33,33 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     (n, k), at, out = struct.unpack_from("<qi", blob), 12, []
     for _ in range(k):
         low, width, plain = struct.unpack_from("<qB?", blob, at)
-        x = np.frombuffer(blob, f"<u{width}", n, at + 10)
-        out.append(x if plain else x.astype(np.int64) + low)
-        at += 10 + n * width
+        at += 10
+        if width == 8:
+            x = np.frombuffer(blob, "<u8", n, at)
+            out.append(x if plain else (x + np.uint64(low & (1 << 64) - 1)).view(np.int64))
+        else:
+            wide = np.zeros((n, 8), np.uint8)
+            if width:
+                wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
+            x = wide.view("<i8")[:, 0]
+            out.append(x.view(np.uint64) if plain else x + low)
+        at += n * width
     return out
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of 64-bit hashes, all as wide."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def deal(bucket: np.ndarray, columns: list[np.ndarray], tag: int) -> Iterator[tuple]:
+    """A (bucket, tag, blob) row for each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, edges):
+        if len(part):
+            yield int(bucket[part[0]]), tag, pack(*(c[part] for c in columns))
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "tag", "blob"])

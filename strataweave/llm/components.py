@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import drop, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each larger neighbour of a node moves to the node's smallest neighbour, itself included
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        e = table(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = table(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        drop(e, least)
         # small star: each smaller neighbour of a node, and the node, move to the smallest of them
-        least = table(e.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = table(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        drop(large, least)

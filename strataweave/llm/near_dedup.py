@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import table
+from .store import drop, table
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, sketch: Sketch, share: float) -
     return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on their full sets."""
     side = lambda k: full.select(F.col("node").alias(k), F.col("set").alias(f"s{k}"))
 
@@ -195,12 +195,14 @@ def _rare_first(full: DataFrame) -> np.ndarray:
     return out
 
 
-def _by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame:
+def by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame:
     """Every pair of ``unsettled(node, component, minor)`` in different components, one of them minor, that may reach ``percent``.
 
     Sets that similar share a shingle among the first |x| - ceil(percent * |x|) + 1 of each, in any order of shingles. With the
     rarest first, near copies offer what sets them apart, and what is left behind the first shared shingle must suffice for
-    the overlap asked for, so a large group of them yields few pairs.
+    the overlap asked for. What the smaller set of a pair has left must suffice for a partner of its own size already, so
+    only such rows are offered on its side: pages that share a template just below the threshold offer none of its
+    shingles, and their pairs are never made.
     """
     own = full.join(unsettled, "node")
     counters = full.sparkSession.sparkContext.broadcast(_rare_first(own))
@@ -225,13 +227,25 @@ def _by_prefix(full: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame
             )
 
     rows = table(own.select("node", "set", "component", "minor").mapInArrow(run, "shingle long, node long, component long, minor boolean, size long, left long"), "prefixes")
-    x = rows.filter("minor").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
-    y = rows.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"), "minor")
+    small = rows.filter((100 + percent) * F.col("left") >= 2 * percent * F.col("size"))
+    x = lambda df: df.select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
+    y = lambda df: df.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))
     # from the first shingle that a pair shares on, both must hold enough for the overlap that the threshold asks for
     enough = (100 + percent) * F.least("lx", "ly") >= percent * (F.col("sx") + F.col("sy"))
-    # a pair of two minor ones is met from both sides
-    once = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & enough
-    return x.join(y, "shingle").filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    once = (F.col("cx") != F.col("cy")) & ((F.col("sx") < F.col("sy")) | (F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y"))) & enough
+    found = x(small.filter("minor")).join(y(rows), "shingle").filter(once).union(x(small.filter("NOT minor")).join(y(rows.filter("minor")), "shingle").filter(once))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component, minor) of the members of bands ``met(band, node)`` that lie in several components of ``found(node, component)``.
+
+    All but a band's largest component are minor. In a band of two, the only pair has been looked at.
+    """
+    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    counted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members")).filter("parts > 1 AND members > 2").select("band", "main")
+    return table(labelled.join(main, "band").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor")), "unsettled")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None = None) -> DataFrame:
@@ -264,15 +278,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None =
 
     # first each member of a band against its smallest
     pairs = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = table(_confirmed(_likely(pairs, held, sketch, share), full, percent).union(same_id), "links")
+    links = table(confirmed(_likely(pairs, held, sketch, share), full, percent).union(same_id), "links")
     found = table(components(links), "components")
     # then what still lies in several components of one band: all but its largest component against all
-    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    counted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    unsettled = table(labelled.join(main, "band").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor")), "unsettled")
-    if unsettled.take(1):
-        more = _confirmed(_likely(_by_prefix(full, unsettled, percent), held, sketch, share), full, percent)
+    due = unsettled(met, found)
+    if due.take(1):
+        more = confirmed(_likely(by_prefix(full, due, percent), held, sketch, share), full, percent)
         more = table(more, "more-links")
         if more.take(1):
             stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
@@ -281,6 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None =
     of_class = table(classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component")), "labels")
     out = signed.select("doc_id", *key).join(of_class, key, "left")
     component = F.coalesce("component", "doc_id")
+    drop(nodes, shared, met, meeting, held, full, links, due)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 

@@ -9,7 +9,7 @@ leftmost of equals). Equal windows so choose the same suffix at the same offset,
 2. Sampled splitters deal the rest by range of their leading bytes (ties by the hash of the gram). A bucket sorts its
    suffixes by multikey quicksort: by gram, ties by context, ties by place. Equal keys never lie in two buckets. All but the
    first of a context are marked; where one gram has several contexts, the first of each is left to step 3.
-3. The windows of these few suffixes are compared one by one in the same way, by two hashes each.
+3. The windows of these few suffixes are compared one by one in the same way, by two hashes each, dealt by these.
 4. The marked intervals of each document are merged, and the rest of its bytes is digested.
 
 Defined cases. Null text: as an empty one, which loses nothing. Rows that share a doc_id count as parts of one document
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as tx
-from .blobs import pack, unpack
+from .blobs import DEALT, bucket_of, pack, unpack
+from .blobs import batch as _batch
+from .blobs import deal
 from .store import table
 
 GRAM = 34
@@ -104,17 +106,6 @@ def _rows(batch: pa.RecordBatch, at: int, n: int) -> tuple[np.ndarray, np.ndarra
 
 Sampler = Callable[[np.ndarray, np.ndarray, int], dict[str, np.ndarray]]
 MARKS = "doc long, start long, stop long"
-DEALT = "bucket int, asked boolean, blob binary"
-
-
-def _dealt(splitters: np.ndarray, keys: np.ndarray, columns: list[np.ndarray], asked: bool) -> Iterator[tuple]:
-    """A (bucket, asked, blob) row for each bucket that ``keys`` fall into."""
-    bucket = np.searchsorted(splitters, keys, side="right")
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, edges):
-        if len(part):
-            yield int(bucket[part[0]]), asked, pack(*(c[part] for c in columns))
 
 
 def _marks(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -131,10 +122,6 @@ def _marks(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array(doc), pa.array(start), pa.array(stop)], ["doc", "start", "stop"])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "asked", "blob"])
-
-
 def _splitters(docs: DataFrame, length: int, buckets: int) -> np.ndarray:
     """Quantiles of the leading bytes of a bounded sample of suffixes; they shape the balance, never the result."""
     total = docs.count()
@@ -163,9 +150,9 @@ def first_pass(docs: DataFrame, splitters: np.ndarray, length: int = 100, sample
         later[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
         doc, at, before, after, lead = (x[order] for x in (doc, at, before, after, lead))
         m = _marks(doc[later], (at - before)[later], (at + after)[later])
-        out = [(int(doc[later][0]) % (len(shared.value) + 1), True, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
+        out = [(int(doc[later][0]) % (len(shared.value) + 1), 1, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
         keep = ~later
-        out += _dealt(shared.value, lead[keep], [gram[keep], context[keep], doc[keep], at[keep], before[keep], after[keep]], False)
+        out += deal(np.searchsorted(shared.value, lead[keep], side="right"), [gram[keep], context[keep], doc[keep], at[keep], before[keep], after[keep]], 0)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +205,8 @@ def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
         for batch in batches:
-            for b, asked, blob in zip(*(batch.column(c) for c in ("bucket", "asked", "blob")), strict=True):
-                if asked.as_py():
+            for b, tag, blob in zip(*(batch.column(c) for c in ("bucket", "tag", "blob")), strict=True):
+                if tag.as_py():
                     yield told(pa.record_batch([pa.array(x) for x in unpack(blob.as_py())], ["doc", "start", "stop"]))
                     continue
                 if b.as_py() != bucket and held:
@@ -239,17 +226,17 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
     joined = docs.join(lists, ["doc", "part"])
 
     def flush(held: list[list[np.ndarray]]) -> list[tuple]:
-        gram, window, doc, place, offset = (np.concatenate(x) for x in zip(*held, strict=True))
+        gram, window, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = multikey_order(gram, window, doc, place)
-        gram, window, doc, place, offset = (x[order] for x in (gram, window, doc, place, offset))
+        gram, window, doc, place = (x[order] for x in (gram, window, doc, place))
         later = np.zeros(len(order), bool)
         later[1:] = (gram[1:] == gram[:-1]) & (window[1:] == window[:-1])
         m = _marks(doc[later], place[later], place[later] + length)
-        out = [(int(doc[0]) % buckets, True, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
+        out = [(int(doc[0]) % buckets, 1, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
         keep = ~later
-        key = tx.mix(gram[keep] ^ (offset[keep] >> 3).astype(np.uint64)) % np.uint64(buckets)
-        # gram and window together tell the window: 128 bits
-        return out + list(_dealt(np.arange(1, buckets, dtype=np.uint64), key, [gram[keep], window[keep], doc[keep], place[keep]], False))
+        # gram and window together tell the window: 128 bits. Equal windows meet, and those of one gram spread over all buckets
+        key = tx.mix(gram[keep] ^ window[keep])
+        return out + list(deal(bucket_of(key, buckets), [gram[keep], window[keep], doc[keep], place[keep]], 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -267,7 +254,7 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
                 p = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
                 o = owner[each]
                 local = p - base[o] + offsets[o]
-                held.append([gram[each].view(np.uint64), tx.spans(h, local, local + length), doc[o], p, place[each] - p])
+                held.append([gram[each].view(np.uint64), tx.spans(h, local, local + length), doc[o], p])
                 count += len(p)
                 if count >= 2 * GATHERED:
                     yield _batch(flush(held))

@@ -77,6 +77,24 @@ def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * powers(len(h))[1][start] + (end - start).astype(np.uint64))
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    """:func:`spans` of ordered spans that don't overlap, block by block, so that a long text needs no long table."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + CHUNK, side="right"))
+        if j > i:
+            h = prefix(data[base : ends[j - 1]], table)
+            out[i:j] = spans(h, starts[i:j] - base, ends[i:j] - base)
+        else:  # one span longer than a block
+            j, total = i + 1, 0
+            for at in range(base, int(ends[i]), CHUNK):
+                total += int(prefix(data[at : min(at + CHUNK, ends[i])], table)[-1]) * pow(BASE, at - base, 1 << 64)
+            out[i] = mix(np.array([(total + int(ends[i]) - base) % (1 << 64)], np.uint64))[0]
+        i = j
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and the text's index of every run of bytes outside ``gaps`` (white space); none crosses two texts."""
     ink = ~gaps[data]
@@ -100,7 +118,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     n = np.bincount(owner, minlength=len(offsets) - 1)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), n
-    w = spans(prefix(data, LOWER_BYTE), starts, ends)
+    w = hashed(data, starts, ends, LOWER_BYTE)
     first = np.concatenate(([0], np.cumsum(n)))[:-1]
     mult = [U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(size)]
     out, who = [], []

@@ -234,8 +234,54 @@ def test_paragraphs_and_pasted_passages(spark, none):
             a, b = map(int, span.split(":"))
             assert zero <= a < b <= zero + len(passage.encode())
     assert paragraphs.paragraph_dedup(none).count() == 0
-    with pytest.raises(ValueError):
-        paragraphs.paragraph_dedup(spark.createDataFrame([(-1, "a")], "doc_id long, text string"))
+
+
+def test_near_lines_are_found_and_only_they_are_removed(spark):
+    rng = random.Random(15)
+    lines = []
+    for _ in range(60):  # groups of near copies around the threshold
+        base = prose(rng, 60, 3000).split()
+        for _ in range(rng.randrange(2, 6)):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            lines.append(" ".join(words))
+    rng.shuffle(lines)
+    ids = [rng.choice([-1, 1]) * rng.randrange(1 << 62) for _ in range(len(lines) // 3)]
+    docs = {i: lines[3 * k : 3 * k + 3] for k, i in enumerate(ids)}
+    got = {r.doc_id: r for r in paragraphs.paragraph_dedup(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")).collect()}
+    flat = [(i, k) for i in sorted(docs) for k in range(3)]
+    want = linked({n: shingle_set(docs[i][k]) for n, (i, k) in enumerate(flat)}, 80)
+    gone = {flat[n] for n, c in want.items() if c != n}
+    found = set()
+    for i, x in docs.items():
+        at = 0
+        for k, line in enumerate(x):
+            if any(a <= at and at + len(line.encode()) <= b for a, b in (map(int, s.split(":")) for s in got[i].spans.split(",") if s)):
+                found.add((i, k))
+            at += len(line.encode()) + 1
+    assert len(gone) > 40 and found <= gone and len(found) >= 0.97 * len(gone)
+    assert sum(r.n_paragraphs for r in got.values()) == len(found)
+
+
+def test_paragraph_rows_of_one_id_have_their_own_spans(spark, odd):
+    rng = random.Random(7)
+    line = prose(rng, 30, 5000)
+    rows = [(1, line), (1, prose(rng, 9, 5000) + "\n" + line), (1, line), (2, None), (-(1 << 62), "")]
+    got = sorted((r.doc_id, r.n_removed, r.spans) for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 5 and got[0] == (-(1 << 62), 0, "") and got[4] == (2, 0, "")
+    size = len(line.encode())
+    assert sum(r[1] for r in got) == 2 * size and {r[2] for r in got[1:4]} >= {"", f"0:{size}"}
+    assert paragraphs.paragraph_dedup(odd).count() == 5
+
+
+def test_equal_windows_are_removed_wherever_they_are_pasted(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 51, 9000)
+    rows = [(k, f"{prose(rng, rng.randrange(30, 90), 9000)} {passage} {prose(rng, rng.randrange(30, 90), 9000)}") for k in range(40)]
+    got = {r.doc_id: r for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[0].n_removed and all(got[k].n_passages > 0 for k in range(1, 40))
+    assert all(got[k].n_removed < 1.4 * len(passage.encode()) for k in range(1, 40))
 
 
 def test_short_lines_and_blocks_of_them_are_paragraphs(spark):
