@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,6 +50,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 #: Ids in a posting list's block, and strings that a part of a pattern may expand to.
 BLOCK, EXPANSIONS = 512, 64
+#: Spans of a text that are put together at a time.
+PART = 256
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>"
 
 
 def _trigrams(s: str) -> frozenset[str]:
@@ -148,12 +152,21 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return postings.select(F.explode(F.concat(*met)).alias("c")).groupBy("c.doc_id").agg(F.collect_set("c.kind").alias("kinds"))
 
 
+def _folded(items: Column, measure: Callable, joined: Callable, fold: Callable) -> Column:
+    """Array of fold(part, carry) for parts of ``PART`` neighbouring items; the carry is ``joined`` over the measures of the parts
+    before. Arrays grow by copying, so parts keep the work of many items from growing with their square."""
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  evaluated once
+    last = lambda p: F.greatest(F.floor((F.size(p) - 1) / PART), F.lit(0))
+    cut = lambda p: F.transform(F.sequence(F.lit(0).cast("long"), last(p)), lambda k: F.slice(p, (k * PART + 1).cast("int"), F.lit(PART)))
+    carries = lambda parts: F.aggregate(F.transform(parts, measure), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(joined(F.element_at(acc, -1), x))))
+    each = lambda parts: bound(carries(parts), lambda c: F.transform(parts, lambda part, k: fold(part, F.element_at(c, k + 1))))
+    return bound(items, lambda p: bound(cut(p), each))
+
+
 def _spans(rule: Rule, nth: int, body: Column) -> Column:
     """[(start, order, end, kind)] of the rule's matches in code points, in order."""
-    pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(F.split(body, rule.pattern, -1).alias("gap"), F.regexp_extract_all(body, pattern, F.lit(0)).alias("hit"))
-    kind = "start:int,rank:int,end:int,kind:string,ok:boolean"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
+    pairs = F.arrays_zip(F.split(body, rule.pattern, -1).alias("gap"), F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0)).alias("hit"))
+    long_ = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -163,25 +176,29 @@ def _spans(rule: Rule, nth: int, body: Column) -> Column:
         one = F.struct(start.alias("start"), F.lit(nth).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), ok.alias("ok"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.filter(F.aggregate(pairs, first, step, lambda acc: acc["out"]), lambda x: x["ok"])
+    measure = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + long_(x))
+    fold = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    return F.filter(F.flatten(_folded(pairs, measure, lambda a, b: a + b, fold)), lambda x: x["ok"])
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: (start, rank, end, kind, ok) of every secret, by start and then the rules' order."""
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans") -> DataFrame:
+    """``docs`` with, as ``into``, the (start, rank, end, kind, ok) of every secret, by start and then the rules' order."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     vocabulary = sorted(set().union(*(c for q in queries.values() for c in q)))
     if vocabulary:
-        found = candidates(trigram_index(docs, vocabulary), queries).withColumnRenamed("doc_id", "_secret_doc").withColumnRenamed("kinds", "_secret_kinds")
-        joined = docs.join(found, docs["doc_id"].cast("long") == found["_secret_doc"], "left").drop("_secret_doc")
+        found = candidates(trigram_index(docs, vocabulary), queries).select(F.col("doc_id").alias("_secret_doc"), F.lit(0).alias("_secret_salt"), F.col("kinds").alias("_secret_kinds"))
+        # rows without an id have no candidates to meet; a salt of their texts spreads them
+        salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("int") + 1).otherwise(0)
+        joined = docs.join(found, (docs["doc_id"].cast("long") == found["_secret_doc"]) & (salt == found["_secret_salt"]), "left").drop("_secret_doc", "_secret_salt")
     else:
         joined = docs.withColumn("_secret_kinds", F.array().cast("array<string>"))
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>")
+    nothing = F.array().cast(SPANS)
     each = []
     for n, rule in enumerate(rules):
         # a rule's candidates are verified; one without trigrams is tried on every text
         due = F.coalesce(F.array_contains("_secret_kinds", rule.kind), F.lit(False)) | F.col("doc_id").isNull() if rule.kind in queries else F.lit(True)
         each.append(F.when(due & F.col("text").rlike(rule.pattern), _spans(rule, n, F.col("text"))).otherwise(nothing))
-    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_secret_kinds")
+    return joined.withColumn(into, F.array_sort(F.concat(*each))).drop("_secret_kinds")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -197,20 +214,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's characters replaced by ``mark`` (overlapping spans by one), and n_chars brought up to date."""
-    kept = docs.columns
-    found = find_spans(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    kept, mine = docs.columns, "_secret_spans"
+    found = find_spans(docs, rules, mine)
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
         fresh = x["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    ends = lambda part: F.coalesce(F.array_max(F.transform(part, lambda x: x["end"])), F.lit(0))
+    fold = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat_ws("", acc["out"]))
+    parts = _folded(F.col(mine), ends, F.greatest, fold)
+    text = F.when(F.size(mine) > 0, F.concat(F.concat_ws("", parts), F.substring(F.col("text"), ends(F.col(mine)) + 1, F.length("text")))).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(mine) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*kept)
 
 

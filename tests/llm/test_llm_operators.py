@@ -111,6 +111,19 @@ def test_redaction_leaves_no_secret_and_all_else(spark, docs):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == '[SECRET]" é𝄞 [SECRET] x' and got[1].n_chars == len(got[1].text) and got[2].text is None and got[5].text == SECRETS[4][1]
     assert not secrets.scan(out).filter("n_assign + n_access + n_hex > 0").count()
+    clash = secrets.redact(df.withColumn("spans", F.lit("mine")).withColumn("kinds", F.lit(3)))
+    assert {(r.spans, r.kinds) for r in clash.select("spans", "kinds").collect()} == {("mine", 3)}
+
+
+def test_texts_of_many_secrets(spark, monkeypatch):
+    many = [(1, "é token=abcdefgh1 AKIA" + "Z" * 14 + " password='secret=abcdefgh' " * 1500), (2, "no secret"), (3, "token=abcdefgh9")]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in many:
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans_of(t)).encode()).hexdigest()
+    redacted = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    monkeypatch.setattr(secrets, "PART", 7)
+    assert redacted == {r.doc_id: r.text for r in secrets.redact(df).collect()} and "abcdefgh" not in redacted[1] and redacted[2] == "no secret"
 
 
 # quality
