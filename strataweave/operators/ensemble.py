@@ -71,3 +71,24 @@ def importance_map(pixel_sets: DataFrame, importance: DataFrame, pixel: Sequence
 
 def partial_ranges(predictions: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return predictions.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def combination_metrics(pixel_sets: DataFrame, sets: DataFrame, pixel: Sequence[str], metric: str, variable: str) -> DataFrame:
+    """For each distinct combination of covering sets: its pixels, the mean metric (half away from zero) and the commonest ``variable`` (ties to the smallest)."""
+    joined = pixel_sets.select(*pixel, "set_id").join(sets.select("set_id", metric, variable), "set_id")
+    each = joined.groupBy(*pixel).agg(F.array_sort(F.collect_set(F.struct("set_id", metric, variable))).alias("_s"))
+    combos = each.groupBy(F.array_join(F.transform("_s", lambda x: x["set_id"].cast("string")), ",").alias("combo")).agg(F.count("*").alias("n_pixels"), F.first("_s").alias("_s"))
+    out = combos.select("combo", "n_pixels", F.explode("_s").alias("s"))
+    return out.groupBy("combo", "n_pixels").agg(F.round(F.avg(f"s.{metric}")).cast("int").alias(metric), F.mode(F.col(f"s.{variable}"), True).alias(variable))
+
+
+def partial_sums(predictions: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The first phase: what the second needs of a part of the sets, for each pixel."""
+    v = F.col(value).cast("long")
+    return predictions.groupBy(*by).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def stitched(parts: DataFrame, pixel: Sequence[str]) -> DataFrame:
+    """The second phase: mean, stdv, count and range of each pixel from its partial sums."""
+    s, q, n = F.sum("s"), F.sum("q"), F.nullif(F.sum("n"), F.lit(0))
+    return parts.groupBy(*pixel).agg(half_even(s / n).cast("int").alias("mean"), half_even(F.sqrt((n * q - s * s).cast("double")) / n).cast("int").alias("stdv"), F.sum("n").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))

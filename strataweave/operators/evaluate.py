@@ -149,3 +149,29 @@ def difference(p: Num, t: Num, no_p: float, no_t: float) -> Column:
 
 def zonal(pixels: DataFrame, zone: str, stats: dict[str, Column]) -> DataFrame:
     return pixels.filter(F.col(zone).isNotNull()).groupBy(zone).agg(*[c.alias(n) for n, c in stats.items()])
+
+
+def valid_rmse(p: Num, t: Num, no_p: float, no_t: float) -> Column:
+    """RMSE over rows of which neither side is nodata."""
+    e = F.when((col(p) != no_p) & (col(t) != no_t), col(p) - col(t))
+    return F.sqrt(F.avg(e * e))
+
+
+def trial_metrics(trials: DataFrame, truth: str, predicted: str, positive: str, trial: str = "trial") -> DataFrame:
+    """auc, ac, r2, rmse and rmse_pm (RMSE of the positive rows) of each trial; null where a trial can't tell."""
+    a = auc(trials, predicted, positive, [trial]).select(trial, "auc")
+    c = agreement(trials, truth, predicted, [trial]).select(trial, "ac")
+    hit = F.when(F.col(positive) == 1, (F.col(truth) - F.col(predicted)) * (F.col(truth) - F.col(predicted)))
+    e = trials.groupBy(trial).agg(r2(truth, predicted).alias("r2"), rmse(truth, predicted).alias("rmse"), F.sqrt(F.avg(hit)).alias("rmse_pm"))
+    return a.join(c, trial).join(e, trial)
+
+
+def spread(trials: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """(metric, mean, pm): each metric's mean and population deviation over the trials."""
+    rows = trials.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("x.*")
+    return rows.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("pm"))
+
+
+def stats_slice(stats: DataFrame, row: str, column: str, columns: Sequence[str], metric: str) -> DataFrame:
+    """One metric of a tidy table (row, column, metric, value) as a table of rows by columns."""
+    return stats.filter(F.col("metric") == metric).groupBy(row).pivot(column, list(columns)).agg(F.first("value"))

@@ -54,6 +54,13 @@ def best_match(predicted: DataFrame, truth: DataFrame, p: str, t: str, row: str
     return joined.groupBy(row, column, p).agg(F.min_by("v", F.struct(F.abs(F.col("v") - F.col(p)), F.col("k"))).alias("match"))
 
 
+def kernel_means(predicted: DataFrame, truth: DataFrame, p: str, t: str, row: str = "row", column: str = "col") -> DataFrame:
+    """Means of the 3 x 3 pixels around each valid prediction, of prediction and reference, truncated to whole numbers."""
+    mean = lambda df, c: focal(df, c, square(3), {c: F.avg("v").cast("int")}, row, column)
+    near = neighbours(truth.filter(F.col(t).isNotNull()), t, square(3), row, column).groupBy(row, column).agg(F.avg("v").cast("int").alias(t))
+    return mean(predicted.filter(F.col(p).isNotNull()), p).join(near, [row, column])
+
+
 def continuous_stats(v: str = "v") -> dict[str, Column]:
     """Mean, median, variance and deviation (population) and range."""
     x, n = F.col(v).cast("long"), F.nullif(F.count(v), F.lit(0))

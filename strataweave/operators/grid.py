@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlap, snap
+from ..functions.geometry import overlap, snap, upper_left
 from ..functions.numeric import Num, col, floor_mod, shuffled, truncated
 
 
@@ -106,6 +106,22 @@ def tiling_of_count(n: int, rows: int, cols: int) -> tuple[int, int]:
     return ny, max(1, n // ny)
 
 
+def vector_transform(features: DataFrame, res: tuple[int, int], corners: tuple[str, str, str, str], to: tuple[int, int] | None = None) -> DataFrame:
+    """(ul_x, x_res, ul_y, y_res, xsize, ysize) of the raster that would cover a vector layer, on the lattice of ``to`` if given."""
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    b = features.agg(F.min(F.least(x1, x2)).alias("lx"), F.max(F.greatest(x1, x2)).alias("hx"), F.min(F.least(y1, y2)).alias("ly"), F.max(F.greatest(y1, y2)).alias("hy"))
+    x, y = upper_left("lx", "hx", res[0]), upper_left("ly", "hy", res[1])
+    if to is not None:
+        x, y = snap(x, to[0], res[0]), snap(y, to[1], res[1])
+    count = lambda low, high, r: F.ceil((F.col(high) - F.col(low)) / abs(r))
+    return b.select(x.cast("long").alias("ul_x"), F.lit(res[0]).alias("x_res"), y.cast("long").alias("ul_y"), F.lit(res[1]).alias("y_res"), count("lx", "hx", res[0]).alias("xsize"), count("ly", "hy", res[1]).alias("ysize"))
+
+
+def offset(ul_1: tuple[Num, Num], ul_2: tuple[Num, Num], res: tuple[Num, Num]) -> tuple[Column, Column]:
+    """Rows and columns from one corner to another, truncated toward zero; corners are (x, y)."""
+    return truncated((col(ul_2[1]) - col(ul_1[1])) / col(res[1])).cast("int"), truncated((col(ul_2[0]) - col(ul_1[0])) / col(res[0])).cast("int")
+
+
 def least_type(df: DataFrame, value: str) -> DataFrame:
     """The smallest numeric type that holds every value: one row (low, high, type)."""
     got = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max((F.col(value) != F.floor(value)).cast("int")).alias("broken"))

@@ -146,3 +146,58 @@ def empty_tiles(tiles: DataFrame, pixels: DataFrame, tile: str = "tile_id") -> D
     """Tiles without a valid pixel."""
     return tiles.join(pixels.select(tile).distinct(), tile, "left_anti")
 
+
+def with_constants(df: DataFrame, constants: dict[str, float]) -> DataFrame:
+    """Constant predictors as columns, in the order of their names."""
+    return df.withColumns({k: F.lit(constants[k]) for k in sorted(constants)})
+
+
+def predictable(df: DataFrame, features: Sequence[str], nodata: float = -9999) -> DataFrame:
+    """Rows of which no predictor is missing or nodata."""
+    out = df
+    for f in features:
+        out = out.filter(F.col(f).isNotNull() & (F.col(f) != nodata))
+    return out
+
+
+def tile_lookup(samples: DataFrame, tile_map: DataFrame, on: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Each sample with the tile of its pixel, its id padded to four characters; the first row and column belong to no tile."""
+    inside = samples.filter((F.col(on[0]) > 0) & (F.col(on[1]) > 0))
+    return inside.join(tile_map.select(*on, F.lpad(F.col("tile_id").cast("string"), 4, "0").alias("tile")), list(on))
+
+
+def complete_tiles(pixels: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Tiles of a long table (tile_id, variable) that hold every variable; the others are skipped."""
+    held = pixels.filter(F.col("variable").isin(list(variables))).select("tile_id", "variable").distinct()
+    return held.groupBy("tile_id").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(set(variables))).select("tile_id")
+
+
+def outside(pixels: DataFrame, training: DataFrame, key: Sequence[str], value: str, nodata: float) -> DataFrame:
+    """Valid pixels that no training sample stands on."""
+    return pixels.filter(F.col(value) != nodata).join(training.select(*key).distinct(), list(key), "left_anti")
+
+
+def kernel_at(samples: DataFrame, pixels: DataFrame, value: str, offsets: Sequence[tuple[int, int]], stats: dict[str, Column], key: str, on: Sequence[str] = ("row", "col")) -> DataFrame:
+    """``stats`` over ``v`` (and ``k``) of the pixels around each sample. A place is looked up once, however many samples share it."""
+    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(offsets)])
+    places = samples.select(*on).distinct().withColumn("_o", F.explode(kernel))
+    near = places.select(F.col(on[0]).alias("_r"), F.col(on[1]).alias("_c"), F.col("_o.k").alias("k"), (F.col(on[0]) + F.col("_o.i")).alias(on[0]), (F.col(on[1]) + F.col("_o.j")).alias(on[1]))
+    found = near.join(pixels.select(*on, F.col(value).alias("v")), list(on)).groupBy("_r", "_c").agg(*[c.alias(n) for n, c in stats.items()])
+    return samples.select(key, *on).join(found.withColumnsRenamed({"_r": on[0], "_c": on[1]}), list(on)).select(key, *stats)
+
+
+def with_attributes(features: DataFrame, stats: DataFrame, key: str = "fid", copy: bool = True) -> DataFrame:
+    """Features with the columns of a table of statistics; without ``copy`` only the key and these."""
+    return (features if copy else features.select(key)).join(stats, key, "left")
+
+
+def attribute_raster(pixels: DataFrame, polygons: DataFrame, width: float, attribute: str, nodata: int, key: Sequence[str]) -> DataFrame:
+    """Each pixel with the largest attribute of the polygons it lies in, else nodata."""
+    hit = points_in_polygons(pixels, polygons, width).groupBy(*key).agg(F.max(attribute).alias("_a"))
+    return pixels.join(hit, list(key), "left").withColumn(attribute, F.coalesce("_a", F.lit(nodata))).drop("_a")
+
+
+def clipped(predictions: DataFrame, ul: tuple[int, int], size: tuple[int, int], on: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Stored predictions of the sets within a tile's rows and columns; the range reaches the scan."""
+    row, column = (F.col(c) for c in on)
+    return predictions.filter((row >= ul[0]) & (row < ul[0] + size[0]) & (column >= ul[1]) & (column < ul[1] + size[1]))

@@ -15,7 +15,31 @@ NODES = "set_id long, node_id int, feature string, threshold double, left int, r
 
 
 def best_splits(samples: DataFrame, by: str, features: Sequence[str], target: str, share: float = 0.005) -> DataFrame:
-    """For each set and feature, the threshold that lowers the squared error most: gain, threshold, n_left.
+    """For each set and feature, the threshold that lowers the squared error most: gain, threshold, n_left."""
+    return _splits(samples, by, features, target, share).select(by, "feature", "gain", "threshold", "n_left")
+
+
+def stumps(samples: DataFrame, by: str, features: Sequence[str], target: str, share: float = 0.005) -> DataFrame:
+    """A tree of one split for each set, without Python: feature, threshold, and each side's mean rounded half to even.
+
+    Ties go to the first feature by name, then the lowest threshold; a set that no split improves has none.
+    """
+    s = _splits(samples, by, features, target, share).filter("gain > 0")
+    best = s.groupBy(by).agg(F.min(F.struct((-F.col("gain")).alias("loss"), "feature", "threshold", "n_left", "s_left", "n", "s")).alias("b")).select(by, "b.*")
+    mean = lambda s, n: F.bround(s.cast("double") / n, 0).cast("int")
+    return best.select(by, "feature", "threshold", mean(F.col("s_left"), F.col("n_left")).alias("left"), mean(F.col("s") - F.col("s_left"), F.col("n") - F.col("n_left")).alias("right"), "n")
+
+
+def predict_stumps(rows: DataFrame, trees: DataFrame, features: Sequence[str], by: str = "set_id") -> DataFrame:
+    """``rows`` with the prediction of their set's split; rows of a set without one go."""
+    value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features])
+    known = trees.select(by, F.col("feature").alias("_feature"), F.col("threshold").alias("_at"), F.col("left").alias("_left"), F.col("right").alias("_right"))
+    out = rows.join(known, by)
+    return out.withColumn("prediction", F.when(value <= F.col("_at"), F.col("_left")).otherwise(F.col("_right"))).drop("_feature", "_at", "_left", "_right")
+
+
+def _splits(samples: DataFrame, by: str, features: Sequence[str], target: str, share: float) -> DataFrame:
+    """The best threshold of each set and feature, with the numbers and sums of its left side and of all.
 
     Distinct values are aggregated first; a running sum over them gives every split at once.
     """
@@ -31,8 +55,8 @@ def best_splits(samples: DataFrame, by: str, features: Sequence[str], target: st
     gain = F.round(sq(F.col("sl"), F.col("nl")) + sq(sr, nr) - sq(F.col("st"), F.col("nt")), 4)
     least = F.ceil(F.col("nt") * share)
     ok = d.filter(F.col("nv").isNotNull() & (F.col("nl") >= least) & (nr >= least)).withColumn("gain", gain).withColumn("threshold", (F.col("v") + F.col("nv")) / 2)
-    best = F.max(F.struct("gain", (-F.col("threshold")).alias("neg"), "nl")).alias("_b")  # partitioned and sorted by (set, feature) already
-    return ok.groupBy(by, "feature").agg(best).select(by, "feature", F.col("_b.gain").alias("gain"), (-F.col("_b.neg")).alias("threshold"), F.col("_b.nl").alias("n_left"))
+    best = F.max(F.struct("gain", (-F.col("threshold")).alias("neg"), "nl", "sl", "nt", "st")).alias("_b")  # partitioned and sorted by (set, feature) already
+    return ok.groupBy(by, "feature").agg(best).select(by, "feature", F.col("_b.gain").alias("gain"), (-F.col("_b.neg")).alias("threshold"), F.col("_b.nl").alias("n_left"), F.col("_b.sl").alias("s_left"), F.col("_b.nt").alias("n"), F.col("_b.st").alias("s"))
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: float = 0.005, depth: int = 30) -> list[tuple]:
@@ -142,6 +166,22 @@ def without(sets: DataFrame, expression: str | None, metrics: Sequence[str]) ->
     return sets if not expression else sets.filter(~F.coalesce(drop_condition(expression, metrics), F.lit(False)))
 
 
+def with_rates(sets: DataFrame, metrics: DataFrame, key: str = "set_id") -> DataFrame:
+    """Sets with their out-of-bag metrics; a value that a set has already stays."""
+    new = metrics.select(key, *[F.col(c).alias(f"_{c}") for c in metrics.columns if c != key])
+    joined = sets.join(new, key, "left")
+    for c in metrics.columns:
+        if c != key:
+            joined = joined.withColumn(c, F.coalesce(c, f"_{c}") if c in sets.columns else F.col(f"_{c}")).drop(f"_{c}")
+    return joined
+
+
+def importance_by_kind(importance: DataFrame, constant: Sequence[str]) -> DataFrame:
+    """Each model's mean importance of constant and of yearly variables (``importance(model, variable, importance)``)."""
+    fixed = F.col("variable").isin(list(constant))
+    return importance.groupBy("model").agg(F.avg(F.when(fixed, F.col("importance"))).alias("constant"), F.avg(F.when(~fixed, F.col("importance"))).alias("yearly"))
+
+
 def importances(nodes: DataFrame) -> DataFrame:
     """(set_id, variable, importance): each feature's share of a tree's gain."""
     g = nodes.filter("feature IS NOT NULL").groupBy("set_id", F.col("feature").alias("variable")).agg(F.sum("gain").alias("_g"))

@@ -109,3 +109,25 @@ def tile_quota(tiles: DataFrame, n: int) -> DataFrame:
     """``pct_area`` and ``n_sample`` of each tile by its area."""
     share = F.col("area") / F.nullif(F.sum("area").over(Window.partitionBy()), F.lit(0))
     return tiles.withColumn("pct_area", share).withColumn("n_sample", F.floor(F.col("pct_area") * n))
+
+
+def equal_allocation(df: DataFrame, value: str, bins: Sequence[tuple[float, float]], n: int, key: Sequence[str], seed: int = 1) -> DataFrame:
+    """``n`` // bins rows of each bin at random, all of one that has fewer."""
+    sizes = strata_counts(df, value, bins).select("bin", F.lit(n // len(bins)).alias("size"))
+    return drawn(df, sizes, value, bins, key, seed=seed)
+
+
+def zone_samples(df: DataFrame, zone: str, false_value: int, n: int, share_zones: float, key: Sequence[str], inflation: float = 1.0, seed: int = 1) -> DataFrame:
+    """Samples of zones against the rest: whole zones are held out, half of ``n`` comes from zones (``value`` 1) and half, times
+    ``inflation``, from pixels of ``false_value`` (``value`` 0); the same shares of both are for training."""
+    zones = zone_split(df.filter(F.col(zone) != false_value), zone, share_zones, seed)
+    inside = df.join(zones, zone)
+    train, test = int(n / 2 * share_zones), n // 2 - int(n / 2 * share_zones)
+    rest = df.filter(F.col(zone) == false_value).withColumn("is_train", (shuffled(seed + 1, *key) % 10000 < int(share_zones * 10000)).cast("int"))
+    pick = lambda rows, k, train, value: simple_random(rows.filter(F.col("is_train") == train), k, key, seed).withColumn("value", F.lit(value))
+    return pick(inside, train, 1, 1).unionByName(pick(inside, test, 0, 1)).unionByName(pick(rest, int(train * inflation), 1, 0)).unionByName(pick(rest, int(test * inflation), 0, 0))
+
+
+def bag_of_all(df: DataFrame, key: str, share: float = 0.63, seed: int = 1) -> DataFrame:
+    """One bag over everything: a row's side follows from its key, so no task sees all rows."""
+    return df.withColumn("in_bag", (shuffled(seed, key) % 10000 < int(share * 10000)).cast("int"))

@@ -104,6 +104,23 @@ _PIXEL_TILES = "SELECT CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT
 _areas = "areas AS (SELECT * FROM tiles WHERE tile_id % 3 = 0)"
 _grid = "cells AS (SELECT CAST((j + 3) * 3 + i + 1 AS BIGINT) AS cell_id, 411 + i * 1500 AS ul_x, -1000 + j * 900 AS ul_y, 411 + i * 1500 + 1500 AS lr_x, -1000 + j * 900 - 900 AS lr_y FROM (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-3, 3)) AS j))"
 
+_MAP = {"p_pred": "pred", "p_region": "region", "p_year": "2001", "p_zone": "zone"}
+_STUMP = f"""vm AS (SELECT *, CASE WHEN r <= k THEN 1 ELSE 0 END AS in_bag FROM (SELECT *, CAST(floor(count(*) OVER (PARTITION BY set_id) * CAST(0.63 AS DOUBLE)) AS BIGINT) AS k, row_number() OVER (PARTITION BY set_id ORDER BY {_shuffled(1, 'obs_id', 'set_id')}, obs_id) AS r
+ FROM (SELECT set_id, obs_id, px_row, px_col, truth AS t, pred, region, zone FROM (SELECT set_id, obs_id, {ROWCOL} FROM members) JOIN px USING (px_row, px_col) WHERE pred <> 50))),
+lg AS (""" + " UNION ALL ".join(f"SELECT set_id, t, '{f}' AS feature, {c} AS v FROM vm WHERE in_bag = 1" for f, c in _MAP.items()) + """),
+dg AS (SELECT set_id, feature, v, count(*) AS n, sum(t) AS s FROM lg GROUP BY ALL),
+wg AS (SELECT *, sum(n) OVER (PARTITION BY set_id, feature ORDER BY v) AS nl, sum(s) OVER (PARTITION BY set_id, feature ORDER BY v) AS sl, sum(n) OVER (PARTITION BY set_id, feature) AS nt, sum(s) OVER (PARTITION BY set_id, feature) AS st, lead(v) OVER (PARTITION BY set_id, feature ORDER BY v) AS nv FROM dg),
+gg AS (SELECT *, round(CAST(sl AS DOUBLE) * sl / nl + CAST(st - sl AS DOUBLE) * (st - sl) / (nt - nl) - CAST(st AS DOUBLE) * st / nt, 4) AS gain, (v + nv) / CAST(2 AS DOUBLE) AS threshold FROM wg WHERE nv IS NOT NULL AND nl >= ceil(nt * CAST(0.005 AS DOUBLE)) AND nt - nl >= ceil(nt * CAST(0.005 AS DOUBLE))),
+stump AS (SELECT set_id, feature, threshold, CAST(round_even(CAST(sl AS DOUBLE) / nl, 0) AS INT) AS lv, CAST(round_even(CAST(st - sl AS DOUBLE) / (nt - nl), 0) AS INT) AS rv, nt FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY gain DESC, feature, threshold) AS q FROM gg WHERE gain > 0) WHERE q = 1)"""
+_STUMPED = "SELECT set_id, px_row, px_col, {truth}, CASE WHEN CASE feature " + " ".join(f"WHEN '{f}' THEN {c}" for f, c in _MAP.items()) + " END <= threshold THEN lv ELSE rv END AS v FROM {rows} JOIN stump USING (set_id) WHERE pred <> 50"
+_RATES = "rates AS (SELECT set_id, CAST(round(sqrt(sse / n)) AS INT) AS oob_rmse, CAST(round(100 * (1 - sse / nullif(sst, 0))) AS INT) AS oob_rate FROM (SELECT set_id, count(*) AS n, CAST(sum((truth - v) * (truth - v)) AS DOUBLE) AS sse, CAST(sum(truth * truth) AS DOUBLE) - CAST(sum(truth) AS DOUBLE) * sum(truth) / count(*) AS sst FROM setpred GROUP BY 1))"
+_TRIALS = f"""tr AS (SELECT trial, truth, pred, CASE WHEN truth > 50 THEN 1 ELSE 0 END AS pos FROM (SELECT *, row_number() OVER (PARTITION BY trial, cell ORDER BY {_shuffled(1, 'pid', 'trial')}, pid) AS r FROM (SELECT px_row * 100 + px_col AS pid, CAST(floor(px_col / 20) AS INT) AS cell, truth, pred, unnest(range(0, 10)) AS trial FROM px)) WHERE r <= 12),
+{_agree('SELECT truth AS x, pred AS y, trial FROM tr', 'trial')},
+au AS (SELECT trial, (sum(p * (2 * below + n + 1)) - sum(p) * (sum(p) + 1)) / CAST(2 AS DOUBLE) / nullif(sum(p) * (sum(n) - sum(p)), 0) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY trial ORDER BY pred) - n AS below FROM (SELECT trial, pred, sum(pos) AS p, count(*) AS n FROM tr GROUP BY ALL)) GROUP BY 1),
+te AS (SELECT trial, 1 - sum((truth - pred) * (truth - pred)) / nullif(CAST(sum(truth * truth) AS DOUBLE) - CAST(sum(truth) AS DOUBLE) * sum(truth) / count(*), 0) AS r2, sqrt(avg((truth - pred) * (truth - pred))) AS rmse, sqrt(avg(CASE WHEN pos = 1 THEN (truth - pred) * (truth - pred) END)) AS rmse_pm FROM tr GROUP BY 1),
+tm AS (SELECT trial, auc, ac, r2, rmse, rmse_pm FROM au JOIN agree USING (trial) JOIN te USING (trial))"""
+
+
 def _floyd(axis: str, span: int, seed: int, source: str, n: int = 4) -> str:
     """Tables that add a centre each, drawn from ``span`` values without replacement."""
     out = []
@@ -221,6 +238,35 @@ SELECT set_id, feature, gain, threshold, CAST(nl AS BIGINT) AS n_left FROM (SELE
     "oob_drop": "SELECT set_id, (set_id * 7) % 101 AS oob_rate FROM sset WHERE NOT (set_id * 7) % 101 >= 50",
     "important_features": "WITH s AS (SELECT target_class AS class, CASE WHEN f_size > 25 THEN 'f_size' WHEN f_tax > CAST(0.04 AS DOUBLE) THEN 'f_tax' ELSE 'f_disc' END AS feature, CAST(sum(target) AS BIGINT) AS n FROM obs GROUP BY ALL) SELECT class, feature, n FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, feature) AS r FROM s) WHERE r = 1",
     "ntrees_curve": "WITH p AS (SELECT set_id - 1 AS s, px_row * 100 + px_col AS o, CAST(floor(truth / 25) AS INT) AS t, CAST(floor(v / 25) AS INT) AS p FROM setpred), m AS (SELECT DISTINCT s + 1 AS k FROM p), u AS (SELECT k AS n_trees, o, t, p, count(*) AS n FROM p, m WHERE s < k GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY n_trees, o ORDER BY n DESC, p) AS r FROM u) SELECT CAST(n_trees AS INT) AS n_trees, round(avg(CASE WHEN p <> t THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS error FROM b WHERE r = 1 GROUP BY 1",
+    "stumps": f"WITH {_STUMP} SELECT set_id, feature, threshold, lv AS \"left\", rv AS \"right\", CAST(nt AS BIGINT) AS n FROM stump",
+    "map_from_stumps": f"WITH {_STUMP}, p AS ({_STUMPED.format(rows='pxset', truth='truth')}) SELECT * FROM (SELECT px_row, px_col, {MEAN} AS mean, {MEDIAN} AS median, {STDV} AS stdv, count(*) AS count FROM p GROUP BY ALL) JOIN (SELECT px_row, px_col, v AS vote FROM (SELECT *, row_number() OVER (PARTITION BY px_row, px_col ORDER BY n DESC, v) AS r FROM (SELECT px_row, px_col, v, count(*) AS n FROM p GROUP BY ALL)) WHERE r = 1) USING (px_row, px_col)",
+    "oob_map_from_stumps": f"WITH {_STUMP}, o AS ({_STUMPED.format(rows='(SELECT *, t AS truth FROM vm WHERE in_bag = 0)', truth='truth')}), e AS (SELECT set_id, CAST(round(sqrt(CAST(sum((truth - v) * (truth - v)) AS DOUBLE) / count(*))) AS INT) AS oob_rmse FROM o GROUP BY 1) SELECT px_row, px_col, CAST(floor(sum(oob_rmse) / CAST(count(*) AS DOUBLE)) AS INT) AS oob_rmse, count(*) AS count FROM pxset JOIN e USING (set_id) WHERE pred <> 50 GROUP BY ALL",
+    "tile_lookup": f"SELECT obs_id, lpad(CAST(CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT) AS VARCHAR), 4, '0') AS tile FROM (SELECT obs_id, {ROWCOL} FROM obs) JOIN px USING (px_row, px_col) WHERE px_row > 0 AND px_col > 0",
+    "complete_tiles": f"WITH {TILES} SELECT tile_id FROM tiles WHERE tile_id IN ({_PIXEL_TILES} > 98)",
+    "test_pixels": f"WITH tr AS (SELECT {ROWCOL} FROM obs WHERE target_class <> 3) SELECT px_row, px_col, truth FROM px WHERE truth <> 0 AND (px_row, px_col) NOT IN (SELECT (px_row, px_col) FROM tr) ORDER BY {_shuffled(1, 'px_row', 'px_col')}, px_row, px_col LIMIT 100",
+    "kernel_at_samples": f"WITH {_near(_square(3), 'nullif(truth, 50)')}, k AS (SELECT px_row, px_col, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(CAST(count(v) * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (count(v) * count(v)), 4) AS variance, round({_std}, 4) AS stdv, CAST(round(max(v) - min(v), 4) AS INT) AS range FROM near GROUP BY px_row, px_col) SELECT obs_id, mean, median, variance, stdv, range FROM (SELECT obs_id, {ROWCOL} FROM obs) JOIN k USING (px_row, px_col)",
+    "equal_allocation": f"WITH {BINS}, s AS (SELECT px_row, px_col, b AS bin, truth FROM px JOIN bins ON truth > lo AND truth <= hi) SELECT px_row, px_col, bin, truth FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {_shuffled(1, 'px_row', 'px_col')}, px_row, px_col) AS r FROM s) WHERE r <= 30",
+    "zone_samples": f"""WITH z AS (SELECT zone, CASE WHEN row_number() OVER (ORDER BY {_shuffled(1, 'zone')}, zone) <= floor(count(*) OVER () * CAST(0.7 AS DOUBLE)) THEN 1 ELSE 0 END AS is_train FROM (SELECT DISTINCT zone FROM px WHERE zone <> 0)),
+a AS (SELECT px_row, px_col, is_train, 1 AS "value" FROM px JOIN z USING (zone) UNION ALL SELECT px_row, px_col, CASE WHEN {_shuffled(2, 'px_row', 'px_col')} % 10000 < 7000 THEN 1 ELSE 0 END, 0 FROM px WHERE zone = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_train, "value" ORDER BY {_shuffled(1, 'px_row', 'px_col')}, px_row, px_col) AS r FROM a)
+SELECT px_row, px_col, is_train, "value" FROM r WHERE r <= CASE WHEN is_train = 1 THEN CASE WHEN "value" = 1 THEN 70 ELSE 105 END ELSE CASE WHEN "value" = 1 THEN 30 ELSE 45 END END""",
+    "whole_bag": f"SELECT CASE WHEN {_shuffled(1, 'obs_id')} % 10000 < 6300 THEN 1 ELSE 0 END AS in_bag, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS ids, CAST(sum(target) AS BIGINT) AS total FROM obs GROUP BY 1",
+    "oob_attach": f"WITH {_RATES} SELECT s.set_id, coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) AS oob_rate, oob_rmse FROM sset s LEFT JOIN rates r ON s.set_id = r.set_id WHERE NOT coalesce(coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) < 60, false)",
+    "combo_metrics": "WITH c AS (SELECT px_row, px_col, string_agg(set_id, ',' ORDER BY set_id) AS combo, list(set_id) AS ids FROM pxset GROUP BY ALL), u AS (SELECT combo, count(*) AS n_pixels, first(ids) AS ids FROM c GROUP BY combo), e AS (SELECT combo, n_pixels, unnest(ids) AS s FROM u), f AS (SELECT combo, s % 5 AS feature, row_number() OVER (PARTITION BY combo ORDER BY count(*) DESC, s % 5) AS r FROM e GROUP BY combo, s % 5), m AS (SELECT combo, n_pixels, CAST(round(avg((s * 7) % 101)) AS INT) AS oob_rate FROM e GROUP BY ALL) SELECT combo, n_pixels, oob_rate, feature FROM m JOIN f USING (combo) WHERE r = 1",
+    "stitched_map": f"SELECT px_row, px_col, {MEAN} AS mean, {STDV} AS stdv, count(*) AS count, min(v) AS low, max(v) AS high FROM setpred GROUP BY ALL",
+    "trial_metrics": f"WITH {_TRIALS} SELECT CAST(trial AS INT) AS trial, round(auc, 4) AS auc, round(ac, 4) AS ac, round(r2, 4) AS r2, round(rmse, 4) AS rmse, round(rmse_pm, 4) AS rmse_pm FROM tm",
+    "trial_spread": f"WITH {_TRIALS} SELECT 'auc' AS metric, round(avg(auc), 4) AS mean, round(stddev_pop(auc), 4) AS pm FROM tm UNION ALL SELECT 'rmse', round(avg(rmse), 4), round(stddev_pop(rmse), 4) FROM tm",
+    "importance_by_kind": f"WITH {IMPORTANCE} SELECT set_id % 4 AS model, round(avg(CASE WHEN variable IN ('f_size', 'f_tax') THEN i END), 4) AS constant, round(avg(CASE WHEN variable NOT IN ('f_size', 'f_tax') THEN i END), 4) AS yearly FROM imp GROUP BY 1",
+    "stats_slice": "SELECT zone, " + ", ".join(f"round(max(CASE WHEN region = {k} THEN e END), 4) AS r{k}" for k in range(5)) + " FROM (SELECT zone, region, sqrt(avg((pred - truth) * (pred - truth))) AS e FROM px GROUP BY ALL) GROUP BY zone",
+    "kernel_means": f"WITH kernel(k, i, j) AS (VALUES {_square(3)}), c AS (SELECT px_row, px_col, nullif(pred, 40) AS p, nullif(truth, 50) AS t FROM px) SELECT a.px_row, a.px_col, CAST(trunc(avg(b.p)) AS INT) AS p, CAST(trunc(avg(b.t)) AS INT) AS t FROM c a, kernel, c b WHERE a.p IS NOT NULL AND b.px_row = a.px_row + i AND b.px_col = a.px_col + j GROUP BY ALL HAVING avg(b.t) IS NOT NULL",
+    "features_with_stats": f"WITH {TILES}, s AS (SELECT CAST(floor(px_row / 5) * 4 + floor(px_col / 25) AS BIGINT) AS fid, count(*) AS n, max(pred) AS high FROM px WHERE truth > 60 GROUP BY 1) SELECT tile_id AS fid, tx1, ty1, s.n, high FROM tiles LEFT JOIN s ON tile_id = fid",
+    "predictions_of_tile": "SELECT set_id, px_row, px_col, v FROM setpred WHERE px_row >= 5 AND px_row < 10 AND px_col >= 25 AND px_col < 50",
+    "vector_transform": f"SELECT CAST(lx + {_fmod('7', '30')} - {_fmod('lx', '30')} AS BIGINT) AS ul_x, 30 AS x_res, CAST(hy + {_fmod('11', '(-30)')} - {_fmod('hy', '(-30)')} AS BIGINT) AS ul_y, -30 AS y_res, CAST(ceil((hx - lx) / CAST(30 AS DOUBLE)) AS BIGINT) AS xsize, CAST(ceil((hy - ly) / CAST(30 AS DOUBLE)) AS BIGINT) AS ysize FROM (SELECT min(least(ul_x, lr_x)) AS lx, max(greatest(ul_x, lr_x)) AS hx, min(least(ul_y, lr_y)) AS ly, max(greatest(ul_y, lr_y)) AS hy FROM sset)",
+    "attribute_raster": "SELECT px_row, px_col, greatest(" + ", ".join(f"CASE WHEN {_inside(450 * k)} THEN {k + 1} ELSE 0 END" for k in range(4)) + ") AS name FROM px",
+    "zone_metadata": r"SELECT n_nationkey AS fid, n_name AS name, CASE WHEN l IS NULL THEN NULL WHEN CAST(regexp_extract(l, '\d+') AS DOUBLE) < 1 THEN CAST(regexp_extract(l, '\d+') AS DOUBLE) * 100 ELSE CAST(regexp_extract(l, '\d+') AS DOUBLE) END AS accuracy FROM nation LEFT JOIN (SELECT c_nationkey, max(c_name) AS l FROM customer GROUP BY 1) ON c_nationkey = n_nationkey",
+    "valid_rmse": "SELECT region, round(sqrt(avg(CASE WHEN pred <> 20 AND truth <> 50 THEN (pred - truth) * (pred - truth) END)), 4) AS rmse FROM px GROUP BY region",
+    "tile_offsets": "SELECT set_id, CAST(trunc((ul_y + 15) / CAST(-30 AS DOUBLE)) AS INT) AS \"row\", CAST(trunc((ul_x - 15) / CAST(30 AS DOUBLE)) AS INT) AS \"col\" FROM sset",
+    "oob_per_set_agreement": f"WITH {_RATES}, {_agree('SELECT truth AS x, v AS y, set_id FROM setpred WHERE set_id IN (SELECT set_id FROM rates WHERE oob_rate < 70)', 'set_id')}, e AS (SELECT set_id, sqrt(avg((x - y) * (x - y))) AS e FROM src GROUP BY 1) SELECT set_id, round(ac, 4) AS ac, round(e, 4) AS rmse FROM agree JOIN e USING (set_id)",
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in _RAW.items()}

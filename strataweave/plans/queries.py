@@ -637,3 +637,203 @@ def ntrees_curve(spark, d):
 @query
 def forest_mllib(spark, d):
     return model.mllib_forest(fx.samples(spark, d), FEATURES, "target_class").select("obs_id", "target_class", "prediction")
+
+
+# from samples to a map
+
+
+MAP_FEATURES = ["p_pred", "p_region", "p_year", "p_zone"]
+
+
+def _predictors(spark, d) -> DataFrame:
+    """Pixels with three predictors, one of them with nodata, and a constant one."""
+    p = fx.pixels(spark, d).select(*PIXEL, "x", "y", "truth", F.when(F.col("pred") == 50, -9999).otherwise(F.col("pred")).alias("p_pred"), F.col("region").alias("p_region"), F.col("zone").alias("p_zone"))
+    return joins.with_constants(p, {"p_year": 2001})
+
+
+def _map_samples(spark, d) -> DataFrame:
+    """Members of every set with the predictors of their pixels, in and out of bag."""
+    m = grid.row_col(fx.members(spark, d).select("set_id", "obs_id", "x", "y"), 0, 0, 30, -30).select("set_id", "obs_id", F.col("row").alias("px_row"), F.col("col").alias("px_col"))
+    rows = m.join(joins.predictable(_predictors(spark, d), MAP_FEATURES).drop("x", "y"), PIXEL)
+    return sa.bagged(rows, "set_id", "obs_id")
+
+
+def _map_rows(spark, d) -> DataFrame:
+    """Every pixel that can be predicted, with each set around it."""
+    return joins.points_in_rectangles(joins.predictable(_predictors(spark, d), MAP_FEATURES), fx.sets(spark, d), fx.BIN).select("set_id", *PIXEL, "truth", *MAP_FEATURES)
+
+
+def _map_stumps(spark, d) -> DataFrame:
+    return model.stumps(_map_samples(spark, d).filter("in_bag = 1"), "set_id", MAP_FEATURES, "truth")
+
+
+@query
+def stumps(spark, d):
+    return _map_stumps(spark, d).select("set_id", "feature", "threshold", "left", "right", "n")
+
+
+@query
+def map_from_stumps(spark, d):
+    p = model.predict_stumps(_map_rows(spark, d), _map_stumps(spark, d), MAP_FEATURES)
+    return en.ensemble(p, PIXEL, "prediction", ["mean", "median", "stdv", "vote", "count"])
+
+
+@query
+def oob_map_from_stumps(spark, d):
+    b = _map_samples(spark, d)
+    p = model.predict_stumps(b.filter("in_bag = 0"), model.stumps(b.filter("in_bag = 1"), "set_id", MAP_FEATURES, "truth"), MAP_FEATURES)
+    return en.metric_map(_map_rows(spark, d), model.oob_metrics(p, "truth"), PIXEL, "oob_rmse")
+
+
+@query
+def map_from_trees(spark, d):
+    nodes = model.train_sets(_map_samples(spark, d), MAP_FEATURES, "truth")
+    p = model.predict_nodes(_map_rows(spark, d), nodes, MAP_FEATURES, PIXEL)
+    return en.ensemble(p.withColumn("v", numeric.half_even("prediction").cast("int")), PIXEL, "v", ["mean", "median", "stdv", "vote", "count"])
+
+
+@query
+def tile_lookup(spark, d):
+    p = fx.pixels(spark, d)
+    tiles = p.select(F.col("px_row").alias("row"), F.col("px_col").alias("col"), (F.floor(F.col("px_row") / 5) * 4 + F.floor(F.col("px_col") / 25)).alias("tile_id"))
+    return joins.tile_lookup(grid.row_col(fx.samples(spark, d), 0, 0, 30, -30).select("obs_id", "row", "col"), tiles).select("obs_id", "tile")
+
+
+@query
+def complete_tiles(spark, d):
+    every = _tiles(spark, d).select("tile_id", F.lit("cover").alias("variable"))
+    return joins.complete_tiles(every.unionByName(_pixel_tiles(spark, d, 98).withColumn("variable", F.lit("bright"))), ["cover", "bright"])
+
+
+@query
+def test_pixels(spark, d):
+    train = grid.row_col(fx.samples(spark, d).filter("target_class <> 3"), 0, 0, 30, -30).select(F.col("row").alias("px_row"), F.col("col").alias("px_col"))
+    return sa.simple_random(joins.outside(fx.pixels(spark, d), train, PIXEL, "truth", 0), 100, PIXEL).select(*PIXEL, "truth")
+
+
+@query
+def kernel_at_samples(spark, d):
+    s = grid.row_col(fx.samples(spark, d), 0, 0, 30, -30).select("obs_id", F.col("row").alias("px_row"), F.col("col").alias("px_col"))
+    p = fx.pixels(spark, d).withColumn("v0", F.expr("nullif(truth, 50)"))
+    return joins.kernel_at(s, p, "v0", fo.square(3), {k: r(c) for k, c in fo.continuous_stats().items()}, "obs_id", PIXEL)
+
+
+@query
+def equal_allocation(spark, d):
+    return sa.equal_allocation(fx.pixels(spark, d), "truth", TENTHS, 305, PIXEL).select(*PIXEL, "bin", "truth")
+
+
+@query
+def zone_samples(spark, d):
+    return sa.zone_samples(fx.pixels(spark, d), "zone", 0, 200, 0.7, PIXEL, 1.5).select(*PIXEL, "is_train", "value")
+
+
+@query
+def whole_bag(spark, d):
+    return sa.bag_of_all(fx.samples(spark, d), "obs_id").groupBy("in_bag").agg(F.count("*").alias("n"), F.sum("obs_id").alias("ids"), F.sum("target").alias("total"))
+
+
+def _rated(spark, d) -> DataFrame:
+    return fx.sets(spark, d).select("set_id", F.when(F.col("set_id") % 3 == 0, F.col("set_id") % 90).alias("oob_rate"))
+
+
+@query
+def oob_attach(spark, d):
+    p = fx.predictions(spark, d).withColumnRenamed("v", "prediction")
+    return model.without(model.with_rates(_rated(spark, d), model.oob_metrics(p, "truth")), "oob_rate < 60", ["oob_rate", "oob_rmse"])
+
+
+@query
+def combo_metrics(spark, d):
+    s = fx.sets(spark, d).select("set_id", ((F.col("set_id") * 7) % 101).alias("oob_rate"), (F.col("set_id") % 5).alias("feature"))
+    return en.combination_metrics(fx.pixel_sets(spark, d), s, PIXEL, "oob_rate", "feature")
+
+
+@query
+def stitched_map(spark, d):
+    p = fx.predictions(spark, d).withColumn("part", F.col("set_id") % 4)
+    return en.stitched(en.partial_sums(p, ["part", *PIXEL], "v"), PIXEL)
+
+
+@query
+def trial_metrics(spark, d):
+    p = fx.pixels(spark, d).withColumn("cell", F.floor(F.col("px_col") / 20).cast("int")).withColumn("pid", F.col("px_row") * 100 + F.col("px_col")).withColumn("pos", (F.col("truth") > 50).cast("int"))
+    t = ev.trial_metrics(sa.balanced_trials(p, 10, 12, "cell", "pid"), "truth", "pred", "pos")
+    return t.select("trial", *[r(c).alias(c) for c in ("auc", "ac", "r2", "rmse", "rmse_pm")])
+
+
+@query
+def trial_spread(spark, d):
+    p = fx.pixels(spark, d).withColumn("cell", F.floor(F.col("px_col") / 20).cast("int")).withColumn("pid", F.col("px_row") * 100 + F.col("px_col")).withColumn("pos", (F.col("truth") > 50).cast("int"))
+    t = ev.trial_metrics(sa.balanced_trials(p, 10, 12, "cell", "pid"), "truth", "pred", "pos")
+    return ev.spread(t, ["auc", "rmse"]).select("metric", r("mean").alias("mean"), r("pm").alias("pm"))
+
+
+@query
+def importance_by_kind(spark, d):
+    i = _importance(spark, d).select((F.col("set_id") % 4).alias("model"), "variable", F.round(F.col("importance") * 100).cast("long").alias("importance"))
+    return model.importance_by_kind(i, ["f_size", "f_tax"]).select("model", r("constant").alias("constant"), r("yearly").alias("yearly"))
+
+
+@query
+def stats_slice(spark, d):
+    e = fx.pixels(spark, d).groupBy("zone", "region").agg(r(ev.rmse("pred", "truth")).alias("value")).withColumn("metric", F.lit("rmse")).withColumn("region", F.concat(F.lit("r"), F.col("region").cast("string")))
+    return ev.stats_slice(e, "zone", "region", [f"r{k}" for k in range(5)], "rmse")
+
+
+@query
+def kernel_means(spark, d):
+    p = fx.pixels(spark, d).select(*PIXEL, F.expr("nullif(pred, 40)").alias("p"), F.expr("nullif(truth, 50)").alias("t"))
+    return fo.kernel_means(p.select(*PIXEL, "p"), p.select(*PIXEL, "t"), "p", "t", "px_row", "px_col")
+
+
+@query
+def features_with_stats(spark, d):
+    f = _tiles(spark, d).select(F.col("tile_id").alias("fid"), "tx1", "ty1")
+    stats = fx.pixels(spark, d).filter("truth > 60").groupBy((F.floor(F.col("px_row") / 5) * 4 + F.floor(F.col("px_col") / 25)).alias("fid")).agg(F.count("*").alias("n"), F.max("pred").alias("high"))
+    return joins.with_attributes(f, stats)
+
+
+@query
+def predictions_of_tile(spark, d):
+    return joins.clipped(fx.predictions(spark, d), (5, 25), (5, 25), PIXEL).select("set_id", *PIXEL, "v")
+
+
+@query
+def vector_transform(spark, d):
+    return grid.vector_transform(fx.sets(spark, d), (30, -30), CORNERS, (7, 11))
+
+
+@query
+def attribute_raster(spark, d):
+    rings = [(k + 1, [(x + 450.0 * k, float(y)) for x, y in HEXAGON]) for k in range(4)]
+    polygons = spark.createDataFrame(rings, "name int, ring array<struct<x: double, y: double>>")
+    return joins.attribute_raster(fx.pixels(spark, d), polygons, fx.BIN, "name", 0, PIXEL).select(*PIXEL, "name")
+
+
+@query
+def zone_metadata(spark, d):
+    zones = fx.read(spark, d, "nation").select(F.col("n_nationkey").alias("fid"), F.col("n_name").alias("name"))
+    meta = fx.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("fid")).agg(F.max("c_name").alias("last")).select("fid", texts.accuracy("last").alias("accuracy"))
+    return joins.with_attributes(zones, meta)
+
+
+@query
+def valid_rmse(spark, d):
+    return fx.pixels(spark, d).groupBy("region").agg(r(ev.valid_rmse("pred", "truth", 20, 50)).alias("rmse"))
+
+
+@query
+def tile_offsets(spark, d):
+    row, column = grid.offset((F.lit(15), F.lit(-15)), (F.col("ul_x"), F.col("ul_y")), (30, -30))
+    return fx.sets(spark, d).select("set_id", row.alias("row"), column.alias("col"))
+
+
+@query
+def oob_per_set_agreement(spark, d):
+    """Reference against out-of-bag prediction of the sets with a low rate: RMSE and agreement of each."""
+    p = fx.predictions(spark, d)
+    low = model.oob_metrics(p.withColumnRenamed("v", "prediction"), "truth").filter("oob_rate < 70").select("set_id")
+    own = p.join(low, "set_id")
+    e = own.groupBy("set_id").agg(r(ev.rmse("truth", "v")).alias("rmse"))
+    return ev.agreement(own, "truth", "v", ["set_id"]).select("set_id", r("ac").alias("ac")).join(e, "set_id")

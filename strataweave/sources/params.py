@@ -64,3 +64,25 @@ def check_variables(wanted: list[str], columns: list[str], target: str | None =
     if target is not None and target not in columns:
         raise ValueError(f"no target column {target}")
     return sorted({c for c in columns for v in wanted if v in c and c != target})
+
+
+def confusion_params(models: dict[str, str], truth: str, folder: str, statistic: str = "mean", extra: dict[str, str] | None = None) -> list[str]:
+    """A parameter file for the evaluation of each model (stamp -> its output folder); their paths."""
+    out = []
+    for stamp, place in sorted(models.items()):
+        path = f"{folder}/confusion_{stamp}_params.txt"
+        write(path, {"p_path": f"{place}/{stamp}_{statistic}", "t_path": truth, "out_dir": place, **(extra or {})}, f"Confusion matrix of {stamp}")
+        out.append(path)
+    return out
+
+
+def filter_params(raster: str, folder: str, function: str, kernel: int, years: list[int], values: list[int] = ()) -> list[str]:
+    """A parameter file for a focal filter of each year, and of each value where the function is an area; ``{0}`` in the raster's path is the year."""
+    out = []
+    for year in years:
+        for value in values or [None]:
+            name = f"{function}_{year}" + (f"_{value}" if value is not None else "")
+            own = {"path": raster.replace("{0}", str(year)), "function": function, "kernel_size": str(kernel), "out_path": f"{folder}/{name}"}
+            write(f"{folder}/filter_{name}_params.txt", own | ({"filter_value": str(value)} if value is not None else {}))
+            out.append(f"{folder}/filter_{name}_params.txt")
+    return out

@@ -84,3 +84,13 @@ def bounds(meta: DataFrame) -> DataFrame:
     x, y = end("ul_x", "x_res", "xsize"), end("ul_y", "y_res", "ysize")
     pick: dict[str, Column] = {"min_x": F.least("ul_x", x), "min_y": F.least("ul_y", y), "max_x": F.greatest("ul_x", x), "max_y": F.greatest("ul_y", y)}
     return meta.select("*", *[c.alias(n) for n, c in pick.items()])
+
+
+def model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, nodes, members) of a model that :func:`write_model` wrote."""
+    return tuple(spark.read.parquet(f"{path}/{n}") for n in ("support_sets", "tree_nodes", "set_samples"))
+
+
+def database(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database over JDBC; ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` read it in parallel."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
