@@ -5,7 +5,7 @@ bins a statistic, with the logistic loss; a fitted model is five flat arrays, an
 level by level in numpy.
 
 Defined cases. Null or empty text: statistics of an empty text, scored like any other. Null doc_id: no label, held_out
-false. Several labels of one document: their rows count each. No labelled rows: every score is ``PRIOR``. No rows: no rows.
+false. Several labels of one document: different ones count each. Several rows of one doc_id: one of them is learnt from. No labelled rows: every score is ``PRIOR``. No rows: no rows.
 Extra columns are ignored by :func:`scored` and kept by :func:`accepted`.
 """
 
@@ -53,26 +53,53 @@ def _share_repeated(hashes: np.ndarray, owner: np.ndarray, n: int, total: np.nda
     return np.where(total > 0, 1 - kinds / some, 0), top / some
 
 
+def _blocks(data: np.ndarray, size: int = tx.CHUNK) -> Iterator[tuple[int, np.ndarray]]:
+    for at in range(0, len(data), size):
+        yield at, data[at : at + size]
+
+
+def _within(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: tuple[int, ...]) -> np.ndarray:
+    """(kinds, words): how many bytes of each kind a word has, block by block."""
+    out, i = np.zeros((len(kinds), len(starts)), np.int64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + tx.CHUNK, side="right")))
+        for at, part in _blocks(data[base : ends[j - 1]]):
+            a, b = (np.clip(x[i:j] - base - at, 0, len(part)) for x in (starts, ends))
+            for n, k in enumerate(kinds):
+                c = np.concatenate(([0], np.cumsum(_CLASS[part, k], dtype=np.int32)))
+                out[n, i:j] += c[b] - c[a]
+        i = j
+    return out
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, statistics) of texts that stand one after the other in ``data``."""
+    """(texts, statistics) of texts that stand one after the other in ``data``. Tables of a few bytes a byte are made for a
+    block at a time only, so a long text needs little more than its words."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     some = np.maximum(size, 1)
-    owner = np.repeat(np.arange(n), size)
-    counts = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256)
+    counts, same_byte = np.zeros(n * 256, np.int64), np.zeros(n)
+    for at, part in _blocks(data):
+        inside = np.clip(offsets, at, at + len(part))
+        owner = np.repeat(np.arange(n), np.diff(inside))
+        counts += np.bincount(owner * 256 + part, minlength=n * 256)
+        if at:
+            same_byte[owner[0]] += data[at] == data[at - 1]
+        same_byte += np.bincount(owner[1:], part[1:] == part[:-1], n)
+    counts = counts.reshape(n, 256)
     share = (counts @ _CLASS) / some[:, None]
     white = counts[:, tx.WHITE].sum(1) / some
     p = counts / some[:, None]
     entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
 
-    h = tx.prefix(data)
     starts, ends, who = tx.words(data, offsets)
     words = np.bincount(who, minlength=n)
     w = np.maximum(words, 1)
     length = (ends - starts).astype(float)
     mean = np.bincount(who, length, n) / w
     spread = np.sqrt(np.maximum(np.bincount(who, length**2, n) / w - mean**2, 0))
-    hashes = tx.spans(h, starts, ends)
+    hashes = tx.hashed(data, starts, ends)
     repeated, top = _share_repeated(hashes, who, n, words)
     if len(hashes) > 2:
         same = np.flatnonzero(who[2:] == who[:-2])
@@ -80,11 +107,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         triples, _ = _share_repeated(triple, who[same], n, np.maximum(words - 2, 0))
     else:
         triples = np.zeros(n)
-    of = [np.concatenate(([0], np.cumsum(_CLASS[data, k]))) for k in (0, 1, 2, 4, 5, 6)]
-    within = [c[ends] - c[starts] for c in of]
-    shouted = np.bincount(who, (within[0] > 1) & (within[1] == 0), n) / w
-    symbols = np.bincount(who, (within[3] + within[4] + within[5]) > 0, n) / w
-    digits = np.bincount(who, within[2] > 0, n) / w
+    upper, lower, digit, symbol, pipe, bang = _within(data, starts, ends, (0, 1, 2, 4, 5, 6))
+    shouted = np.bincount(who, (upper > 1) & (lower == 0), n) / w
+    symbols = np.bincount(who, (symbol + pipe + bang) > 0, n) / w
+    digits = np.bincount(who, digit > 0, n) / w
 
     breaks = np.flatnonzero(data == 10)
     edges = np.unique(np.concatenate([offsets[:-1], breaks + 1, offsets[1:]]))
@@ -94,12 +120,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long_ = np.maximum(lines, 1)
     line_length = (b - a).astype(float)
     stop = b - (data[np.maximum(b - 1, 0)] == 10) if len(b) else b
-    again, _ = _share_repeated(tx.spans(h, a, np.maximum(stop, a)), line_of, n, lines) if len(a) else (np.zeros(n), None)
-    same_byte = np.zeros(len(data))
-    same_byte[1:] = data[1:] == data[:-1]
+    again, _ = _share_repeated(tx.hashed(data, a, np.maximum(stop, a)), line_of, n, lines) if len(a) else (np.zeros(n), None)
     return np.column_stack([
         np.log1p(size), np.log1p(words), mean, share, white, np.bincount(line_of, line_length, n) / long_, np.bincount(line_of, line_length < 30, n) / long_,
-        again, repeated, triples, spread, shouted, symbols, digits, (counts[:, 46] + counts[:, 63]) / w, counts[:, 44] / w, np.bincount(owner, same_byte, n) / some, entropy, top,
+        again, repeated, triples, spread, shouted, symbols, digits, (counts[:, 46] + counts[:, 63]) / w, counts[:, 44] / w, same_byte / some, entropy, top,
     ])
 
 
@@ -191,8 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``labels.quality``, from the labelled documents that aren't held out; of more than ``sample``, those with the smallest hashes."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    got = _measured(rows, ["doc_id", "quality"], "doc_id long, quality double, made array<double>", None).toArrow()
+    # at most ``sample`` rows of two numbers, so the texts stay where they are
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    made = _measured(rows.withColumn("hash", F.xxhash64("text")), ["doc_id", "quality", "hash"], "doc_id long, quality double, hash long, made array<double>", None)
+    # of rows that share a doc_id one is learnt from, so no more than ``sample`` rows are gathered
+    got = made.groupBy("doc_id", "quality").agg(F.min(F.struct("hash", "made")).alias("m")).select("doc_id", "quality", "m.made").toArrow()
     x = np.array(got["made"].to_pylist(), float).reshape(-1, len(STATISTICS))
     y = got["quality"].to_numpy()
     order = np.lexsort((*x.T[::-1], y, got["doc_id"].to_numpy()))  # rows arrive in any order
