@@ -458,7 +458,7 @@ def test_prefix_arrays_answer_spans():
 
 
 def test_licences_equal_a_plain_scan(spark, docs, rows, none):
-    cases = [(1, "CC-BY all rights reserved cc by cc cc by general public license General  Public\nlicense all all rights reserved"), (2, None), (3, ""), (4, "é all rights reserved"), (5, licences.TEMPLATES[2][1] + " x " + licences.TEMPLATES[4][1])]
+    cases = [(1, "CC-BY all rights reserved cc by cc cc by general public license General  Public\nlicense all all rights reserved"), (2, None), (3, ""), (4, "é all rights reserved"), (5, licences.TEMPLATES[2][1] + " x " + licences.TEMPLATES[4][1])]  # the MIT text and the Apache header
     for frame, texts in ((spark.createDataFrame(cases, "doc_id long, text string"), cases), (docs, rows)):
         got = {r.doc_id: r for r in licences.licences(frame).collect()}
         for i, t in texts:
@@ -472,6 +472,54 @@ def test_licences_equal_a_plain_scan(spark, docs, rows, none):
     assert licences.licences(none).count() == 0
 
 
+def plain_chain(template, words, k):
+    """The most words of ``template`` that a chain of maximal runs may cover in ``words``, by trying every run as its last."""
+    anchors = []
+    for i in range(len(words)):
+        for t in range(len(template)):
+            if words[i] == template[t] and not (i and t and words[i - 1] == template[t - 1]):
+                n = 0
+                while i + n < len(words) and t + n < len(template) and words[i + n] == template[t + n]:
+                    n += 1
+                if n >= licences.ANCHOR:
+                    anchors.append((t, i, n))
+    best = {}
+    for t, i, n in sorted(anchors, key=lambda a: (a[1], a[0])):
+        before = [c for (u, j, m), c in best.items() if 0 <= t - u - m <= licences.GAP and 0 <= i - j - m <= licences.GAP]
+        best[t, i, n] = n + max(before, default=0)
+    return max(best.values(), default=0)
+
+
+def test_labels_are_those_of_well_covered_templates(spark):
+    rng = random.Random(31)
+    cases = []
+    for k in range(30):
+        label, text = rng.choice(licences.TEMPLATES)
+        words = text.split()
+        for _ in range(rng.choice([0, 2, 6, 20])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1])] = [f"zz{rng.randrange(9)}"]
+        cases.append((k, prose(rng, 20) + " " + " ".join(words[rng.choice([0, 0, len(words) // 2]) :]) + " " + prose(rng, 20)))
+    cases.append((99, " ".join(["permission is hereby"] * 300)))
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    seen = 0
+    for i, t in cases:
+        w = licences.tokens(t)
+        cover = {}
+        for label, text in licences.TEMPLATES:
+            own = licences.tokens(text)
+            n = plain_chain(own, w, label)
+            if n >= licences.COVER * len(own):
+                cover[label] = max(cover.get(label, 0), min(1.0, n / len(own)))
+        r = got[i]
+        assert set(r.labels.split(",")) - {""} - set(r.base_labels.split(",")) == set(cover) - set(r.base_labels.split(","))
+        assert r.score == pytest.approx(max([*cover.values(), 1.0 * bool(r.base_labels)], default=0.0))
+        seen += bool(cover)
+    assert seen > 12
+    many = licences.licences(spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string"), templates=[("mine", "Two three FOUR five")]).first()
+    assert (many.labels, many.score, many.spans) == ("mine", 1.0, "mine:1:5")
+
+
 def test_matching_statistics_are_the_longest_runs():
     rng = random.Random(6)
     templates = [[rng.randrange(3) for _ in range(12)] for _ in range(4)]
