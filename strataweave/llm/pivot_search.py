@@ -2,9 +2,13 @@
 
 Every vector is keyed by its nearest pivot and its distance to it. The index is dealt by range of that key, so a
 partition holds whole runs of annuli and equal vectors may spread over several; each is packed into blocks that know their distance
-range and their longest vector. A query walks the blocks from the most promising bound on, and stops where
-``score <= (|q|^2 + |v|^2 - d(q, v)^2) / 2`` with ``d(q, v) >= |d(q, p) - d(v, p)|`` and ``score <= |q| |v|`` show that
-no later block can reach its k-th score. Queries come in blocks of bounded size against all rows.
+range and their longest vector, and the blocks of a pivot, by distance, form at most ``ANNULI`` groups. The driver holds
+the groups' bounds (``PIVOTS * ANNULI`` rows at most) and neither vectors nor queries.
+
+Queries are rows. Each first visits the groups of the best bounds until these hold enough vectors, which gives it a
+threshold; then it visits the groups that ``score <= (|q|^2 + |v|^2 - d(q, v)^2) / 2`` with
+``d(q, v) >= |d(q, p) - d(v, p)|`` and ``score <= |q| |v|`` don't rule out, and of their blocks those that the same
+bounds leave. Queries travel in blocks too, so a visit is a product of two matrices.
 
 Defined cases. Vectors that are null, empty, or hold a null or non-finite component take no part, as query or candidate;
 neither do those with a null id or (against a query) another length. Rows that share the query's id aren't its
@@ -21,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import table
+from .store import drop, table
 
-#: Pivots and queries on the driver at once, and vectors of an index block.
-PIVOTS, QUERIES, BLOCK = 64, 2048, 256
+#: Pivots, groups of a pivot's blocks at most, vectors of a block, and queries of one.
+PIVOTS, ANNULI, BLOCK, QUERIES = 64, 64, 256, 512
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -73,75 +77,106 @@ def index(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     key = table(rows.select("id", "v").mapInArrow(keyed, "pivot int, dist double, id long, v array<double>"), "keyed")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = key.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    return table(dealt.mapInArrow(packed, "pivot int, low double, high double, norm double, n int, ids binary, matrix binary"), "index")
+    return dealt.mapInArrow(packed, "pivot int, low double, high double, norm double, n int, ids binary, matrix binary")
+
+
+def _bounds(q: np.ndarray, pivots: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """(queries, annuli): the highest inner product that a vector of an annulus may have, with room for rounding."""
+    d, qn = _distances(q, pivots)[:, pivot], np.sqrt((q * q).sum(1))[:, None]
+    gap = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]), 0)
+    return np.minimum((qn**2 + norm[None, :] ** 2 - gap**2) / 2, qn * norm[None, :]) + 1e-6 * (1 + qn * norm[None, :])
+
 
+Groups = tuple[np.ndarray, ...]
 
-def _search(blocks: DataFrame, ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int) -> DataFrame:
-    """Each partition's best ``k`` of each query, then the best of all."""
-    to_pivot, norms = _distances(queries, pivots), np.sqrt((queries * queries).sum(1))
-    shared = blocks.sparkSession.sparkContext.broadcast((ids, queries, to_pivot, norms))  # at most QUERIES rows
+
+def _sent(due: DataFrame, pivots: np.ndarray, groups: Groups, k: int, again: bool) -> DataFrame:
+    """Blocks (group, nth, id, least, matrix) of the queries ``due(nth, id, v, least)`` for every group that they visit first, or then."""
+    shared = due.sparkSession.sparkContext.broadcast((pivots, groups))
+    names = ["group", "nth", "id", "least", "v"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, (group, pivot, low, high, norm, count) = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES):
+                some = batch.slice(at, QUERIES)
+                bound = _bounds(_matrix(some.column("v"), some.num_rows), p, pivot, low, high, norm)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                before = np.cumsum(count[order], axis=1) - count[order]
+                first = np.zeros(bound.shape, bool)
+                np.put_along_axis(first, order, before <= k, 1)  # the query itself may be among them
+                least = some.column("least").fill_null(-np.inf).to_numpy()
+                who, where = np.nonzero(~first & (bound >= least[:, None]) if again else first)
+                yield pa.record_batch([pa.array(group[where]), *(some.column(c).take(pa.array(who)) for c in names[1:])], names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            cuts = [(i, min(b, i + QUERIES)) for a, b in zip(edges[:-1], edges[1:], strict=True) for i in range(a, b, QUERIES)]
+            out = [(int(group[i]), *(batch.column(c).slice(i, j - i).to_numpy().tobytes() for c in ("nth", "id")), batch.column("least").slice(i, j - i).fill_null(-np.inf).to_numpy().tobytes(), _matrix(batch.column("v").slice(i, j - i), j - i).tobytes()) for i, j in cuts]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["group", "nth", "id", "least", "matrix"])
+
+    parts = int(due.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = due.select("nth", "id", "least", "v").mapInArrow(send, "group long, nth long, id long, least double, v array<double>")
+    dealt = rows.repartition(parts, "group", F.pmod(F.xxhash64("nth"), F.lit(4))).sortWithinPartitions("group")
+    return dealt.mapInArrow(pack, "group long, nth binary, id binary, least binary, matrix binary")
+
+
+def _visited(sent: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """(nth, query_id, vec_id, score): of each query and block that meet, the best ``k`` that reach the query's threshold."""
+    shared = blocks.sparkSession.sparkContext.broadcast(pivots)
+    asked = sent.select("group", "nth", F.col("id").alias("qid"), "least", F.col("matrix").alias("q"))
+    joined = asked.join(blocks, "group").select("nth", "qid", "least", "q", "pivot", "low", "high", "norm", "ids", "matrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, qd, qn = shared.value
-        best = np.full((len(q), k), -np.inf)
-        who = np.full((len(q), k), np.iinfo(np.int64).max)
-        rows = np.arange(len(q))
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            pivot, low, high, norm = (batch.column(c).to_numpy() for c in ("pivot", "low", "high", "norm"))
-            gap = np.maximum(np.maximum(low[None, :] - qd[:, pivot], qd[:, pivot] - high[None, :]), 0)
-            bound = np.minimum((qn[:, None] ** 2 + norm[None, :] ** 2 - gap**2) / 2, qn[:, None] * norm[None, :]) + 1e-6 * (1 + qn[:, None] * norm[None, :])
-            for b in np.argsort(-bound.max(0), kind="stable"):  # annuli from the most promising on
-                live = rows[bound[:, b] >= best[:, -1]]
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                nth, qid, cand = (np.frombuffer(row[c], np.int64) for c in ("nth", "qid", "ids"))
+                least, q, m = (np.frombuffer(row[c], np.float64) for c in ("least", "q", "matrix"))
+                q, m = q.reshape(len(nth), -1), m.reshape(len(cand), -1)
+                bound = _bounds(q, shared.value, *(np.array([row[c]]) for c in ("pivot", "low", "high", "norm")))[:, 0]
+                live = np.flatnonzero(bound >= least)
                 if not len(live):
                     continue
-                cand = np.frombuffer(batch.column("ids")[int(b)].as_py(), np.int64)
-                m = np.frombuffer(batch.column("matrix")[int(b)].as_py(), np.float64).reshape(len(cand), -1)
                 score = q[live] @ m.T
-                score[qid[live][:, None] == cand[None, :]] = -np.inf
-                s = np.concatenate([best[live], score], 1)
-                w = np.concatenate([who[live], np.broadcast_to(cand, score.shape)], 1)
-                top = np.lexsort((w, -s), axis=1)[:, :k]
-                best[live], who[live] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-        fine = best > -np.inf
-        at = np.nonzero(fine)
-        yield pa.record_batch([pa.array(at[0].astype(np.int32)), pa.array(qid[at[0]]), pa.array(who[fine]), pa.array(best[fine].astype(np.int64))], ["nth", "query_id", "vec_id", "score"])
-
-    found = blocks.mapInArrow(run, "nth int, query_id long, vec_id long, score long")
+                score[(qid[live][:, None] == cand[None, :]) | (score < least[live][:, None])] = -np.inf
+                top = np.lexsort((np.broadcast_to(cand, score.shape), -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, top, 1)
+                at, col = np.nonzero(best > -np.inf)
+                yield pa.record_batch([pa.array(nth[live][at]), pa.array(qid[live][at]), pa.array(cand[top[at, col]]), pa.array(best[at, col].astype(np.int64))], ["nth", "query_id", "vec_id", "score"])
+
+    return joined.mapInArrow(run, "nth long, query_id long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     of_query = Window.partitionBy("nth", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of every row that ``queries`` holds for, against all rows."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = quantised(vectors, id_column, vector_column, scale)
     asked = quantised(vectors.filter(queries), id_column, vector_column, scale).distinct()
-    out = None
-    for (dim,) in rows.select("dim").distinct().orderBy("dim").collect():  # vectors of one length at a time
+    for (dim,) in asked.select("dim").distinct().orderBy("dim").collect():  # vectors of one length at a time
         own = rows.filter(F.col("dim") == dim)
         # a bounded sample by hash: the pivots shape the speed, never the result
         pivots = np.array([r.v for r in own.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(PIVOTS).collect()])
-        blocks = index(own, pivots)
-        due = table(asked.filter(F.col("dim") == dim), "queries")
-        total = due.count()
-        parts = -(-total // QUERIES)
-        for part in range(parts):
-            block = due.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("id", "v")
-            held: list = []
-            for r in block.toLocalIterator():
-                held.append(r)
-                if len(held) == 2 * QUERIES:
-                    found = _search(blocks, np.array([x.id for x in held]), np.array([x.v for x in held]), pivots, k)
-                    out, held = found if out is None else out.union(found), []
-            if held:
-                found = _search(blocks, np.array([x.id for x in held]), np.array([x.v for x in held]), pivots, k)
-                found = table(found, "found") if parts > 1 else found
-                out = found if out is None else out.union(found)
-    return empty if out is None else out
+        ring = F.ntile(ANNULI).over(Window.partitionBy("pivot").orderBy("low", "high")) - 1
+        blocks = table(index(own, pivots).withColumn("group", (F.col("pivot") * ANNULI + ring).cast("long")), "blocks")
+        bounds = blocks.groupBy("group").agg(F.min("pivot"), F.min("low"), F.max("high"), F.max("norm"), F.sum("n")).orderBy("group").collect()
+        groups = tuple(np.array(c) for c in zip(*bounds, strict=True))
+        due = table(asked.filter(F.col("dim") == dim).select("id", "v").withColumn("nth", F.monotonically_increasing_id()), "queries")
+        first = table(_best(_visited(_sent(due.withColumn("least", F.lit(None).cast("double")), pivots, groups, k, False), blocks, pivots, k), k).drop("rank"), "first")
+        known = first.groupBy("nth").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).filter(F.col("n") == k).select("nth", "least")
+        then = _visited(_sent(due.join(known, "nth", "left"), pivots, groups, k, True), blocks, pivots, k)
+        out = out.union(table(_best(first.union(then), k).select("query_id", "rank", "vec_id", "score"), "found"))
+        drop(blocks, due, first)
+    return out
 
 
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
