@@ -55,7 +55,7 @@ def members(spark: SparkSession, path: str, set_id: int | None = None, in_bag: i
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
     """One whole number a line."""
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("id")).filter("id IS NOT NULL")
+    return spark.read.text(path).select(F.trim("value").try_cast("long").alias("id")).filter("id IS NOT NULL")
 
 
 def metadata_value(spark: SparkSession, path: str, keyword: str, separator: str = ":") -> DataFrame:

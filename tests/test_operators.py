@@ -208,3 +208,75 @@ def test_error_curve_equals_a_vote_for_every_number_of_trees(spark):
             wrong.append(min(set(own), key=lambda c: (-own.count(c), c)) != o % 3)
         assert error == pytest.approx(np.mean(wrong))
     assert max(got) == 12
+
+
+def test_models_are_written_and_read(spark, tmp_path):
+    sets = spark.createDataFrame([(1, 5), (2, 7)], "set_id int, oob_rate int")
+    nodes = spark.createDataFrame([(1, 0, "a", 1.5, 1, 2, 3.0, 4, 0.5)], model.NODES)
+    bag = spark.createDataFrame([(1, 10, 1), (1, 11, 0), (2, 10, 1)], "set_id int, obs_id int, in_bag int")
+    tables.write_model(sets, nodes, bag, str(tmp_path))
+    got = tables.model(spark, str(tmp_path))
+    assert [t.count() for t in got] == [2, 1, 3] and got[1].schema.simpleString() == nodes.schema.simpleString()
+    assert [r.obs_id for r in tables.members(spark, str(tmp_path), 1, 0).collect()] == [11]
+
+
+def test_text_tables(spark, tmp_path):
+    tables.write_delimited(spark.createDataFrame([(1, 2, 3, 4, 5, 6)], tables.SAMPLE), str(tmp_path / "s"))
+    assert tables.delimited(spark, str(tmp_path / "s"), tables.SAMPLE).first().target == 6
+    (tmp_path / "ids.txt").write_text("3\n\n17\n")
+    assert [r.id for r in tables.ids(spark, str(tmp_path / "ids.txt")).collect()] == [3, 17]
+    (tmp_path / "meta.txt").write_text("name: x\nmean error: 12.5 percent\nmean error: 9\n")
+    assert tables.metadata_value(spark, str(tmp_path / "meta.txt"), "mean error").first().value == "12.5 percent"
+    spark.createDataFrame([(1, "a")], "fid int, name string").write.parquet(str(tmp_path / "layer"))
+    assert tables.features(spark, str(tmp_path / "layer"), "fid int, name string").first().name == "a"
+    with pytest.raises(ValueError):
+        tables.features(spark, str(tmp_path / "layer"), "fid int").filter("false").write.parquet(str(tmp_path / "none"))
+        tables.features(spark, str(tmp_path / "none"), "fid int")
+
+
+def test_files_of_a_tile_are_found_by_pattern(spark, tmp_path):
+    for tile in ("0012", "0345"):
+        (tmp_path / tile).mkdir()
+        for name in ("cover_2000.bsq", "cover_2001.bsq", "old_cover_2000.bsq", "slope.bsq"):
+            (tmp_path / tile / name).write_bytes(b"x")
+    found = tables.files(spark, str(tmp_path), "*.bsq")
+    got = {r.tile_id: r.path.rsplit("/", 1)[1] for r in joins.first_match(found, "cover_20.*", without="old").collect()}
+    assert got == {"0012": "cover_2000.bsq", "0345": "cover_2000.bsq"}
+
+
+def test_parameter_files_are_written_for_models_filters_and_years(tmp_path):
+    paths = params.confusion_params({"b": "/m/b", "a": "/m/a"}, "/t.bsq", str(tmp_path), "vote", {"bins": "-1:10"})
+    assert [params.read(p)["p_path"] for p in paths] == ["/m/a/a_vote", "/m/b/b_vote"] and params.read(paths[0])["bins"] == "-1:10"
+    paths = params.filter_params("/r_{0}.bsq", str(tmp_path), "area", 5, [2000, 2001], [1, 2])
+    assert len(paths) == 4 and params.read(paths[3]) == {"path": "/r_2001.bsq", "function": "area", "kernel_size": "5", "out_path": f"{tmp_path}/area_2001_2", "filter_value": "2"}
+    each = params.years({"agg_stats": "mean"}, 1990, 1992, [["cover", "-1"], ["slope", "1"]])
+    assert [y["table"][0][1] for y in each] == [7, 8, 9] and each[0]["table"][1] == ["slope", "1"]
+
+
+def test_corners_and_offsets(spark):
+    assert one(spark, geometry.upper_left(3, 9, 30)) == 3 and one(spark, geometry.upper_left(3, 9, -30)) == 9
+    row, column = grid.offset((0, 0), (F.lit(95), F.lit(-61)), (30, -30))
+    assert (one(spark, row), one(spark, column)) == (2, 3)
+
+
+def test_pixels_without_a_predictor_have_no_prediction(spark):
+    df = joins.with_constants(spark.createDataFrame([(1, 5, 2), (2, -9999, 2), (3, 1, None)], "k int, a int, b int"), {"z": 7, "c": 1})
+    assert df.columns == ["k", "a", "b", "c", "z"]
+    assert [r.k for r in joins.predictable(df, ["a", "b", "c", "z"]).collect()] == [1]
+
+
+def test_one_split_predicts_the_sides_means(spark):
+    rows = [(1, i, float(i), 0.0, 10 if i < 6 else 31) for i in range(10)]
+    df = spark.createDataFrame(rows, "set_id int, obs_id int, a double, b double, t int")
+    tree = model.stumps(df, "set_id", ["a", "b"], "t").first()
+    assert (tree.feature, tree.threshold, tree.left, tree.right, tree.n) == ("a", 5.5, 10, 31, 10)
+    got = model.predict_stumps(df, model.stumps(df, "set_id", ["a", "b"], "t"), ["a", "b"]).collect()
+    assert all(r.prediction == r.t for r in got)
+    assert model.stumps(df.withColumn("t", F.lit(3)), "set_id", ["a", "b"], "t").count() == 0
+
+
+def test_partial_sums_stitch_to_the_whole(spark):
+    df = spark.createDataFrame([(i % 3, 0, i % 4, i * i % 17) for i in range(60)], "part int, r int, c int, v int")
+    got = {r.c: (r.mean, r.stdv, r["count"]) for r in ensemble.stitched(ensemble.partial_sums(df, ["part", "r", "c"], "v"), ["r", "c"]).collect()}
+    whole = {r.c: (r.mean, r.stdv, r["count"]) for r in ensemble.ensemble(df, ["r", "c"], "v", ["mean", "stdv", "count"]).collect()}
+    assert got == whole
