@@ -10,6 +10,7 @@ a doc_id are packed each by itself. No rows: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,13 +29,23 @@ MARKS = re.compile("([.,;:!?$#%&*|])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)([.,;:!
 SPELT = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 SPECIAL = "<|"
 
+#: What a vocabulary's normaliser and splitter must be for the cuts of :class:`Encoder` to hold (fixed values).
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids as little-endian 32-bit bytes.
 
-    No token of this vocabulary crosses white space or the end of a run of letters, and case doesn't matter to it. So a
+    A vocabulary with other rules than ``NORMALISER`` and ``SPLITTER`` encodes whole texts. With these, no token crosses white space or the end of a run of letters, and case doesn't matter to it. So a
     text is cut there, in lower case where that is one letter for one, and every word is encoded once: new runs of letters
     by the tokenizer's model, the others by the whole tokenizer together, told apart by a special token.
     """
@@ -44,8 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark, token = min(self.tokenizer.get_added_tokens_decoder().items())
-        self.between = token.content
+        rules, added = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder()
+        self.cuts = rules["normalizer"] == NORMALISER and rules["pre_tokenizer"] == SPLITTER and not rules["post_processor"] and bool(added) and all(t.content.startswith(SPECIAL) for t in added.values())
+        self.mark, self.between = min((i, t.content) for i, t in added.items()) if self.cuts else (None, None)
         self.words: dict[str, bytes] = {"": b""}
 
     def cut(self, text: str) -> list[str]:
@@ -58,6 +70,8 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.cut(t) for t in texts]
         if len(self.words) > WORDS_KEPT:
             self.words = {"": b""}

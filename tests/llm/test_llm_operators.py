@@ -555,6 +555,18 @@ def test_packing_round_trip(docs, rows, none):
         packing.pack(docs, packing.vocabulary(), longest=1000)
 
 
+def test_another_vocabulary_goes_through_its_own_tokenizer(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not packing.encoder(path).cuts and packing.encoder(packing.vocabulary()).cuts
+    tokenizer, got = Tokenizer.from_file(path), {}
+    for p in sorted(packing.pack(docs, path, end=7).collect(), key=lambda p: p.start):
+        got.setdefault(p.doc_id, []).extend(p.ids)
+    assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [7] for i, t in rows}
+
+
 def test_cuts_are_binary_digits():
     assert packing.cuts(5000) == [2048, 2048, 512, 256, 128, 8] and packing.cuts(1) == [1]
 
