@@ -4,7 +4,7 @@ Every document's set is its distinct word shingles. Register ``i`` holds the exp
 ``K_i = clamp(floor(1 - log_b(min_x e_i(x))), 0, q + 1)`` over exponential variates ``e_i(x)`` of rate ``a``: registers of
 a union are the larger of both, and equal registers grow likelier with the Jaccard similarity. Rows of registers form
 bands; documents that share a band meet first around one member of the band. Where that left several components in a band,
-their members are joined on prefixes of their full sets, rarest shingles first, which finds every further link without
+their members meet around its hub, the text of the commonest shingles, and what is left is joined on prefixes of their full sets, rarest shingles first, which finds every further link without
 making all pairs of a group. A pair goes on if its jointly estimated similarity may reach the threshold, and is linked
 only by its full sets.
 
@@ -15,7 +15,7 @@ No rows: no rows. Columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -242,12 +242,70 @@ def unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
 
     All but a band's largest component are minor. In a band of two, the only pair has been looked at.
     """
-    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    labelled = met.select("band", "node").distinct().join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     counted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members")).filter("parts > 1 AND members > 2").select("band", "main")
     return table(labelled.join(main, "band").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor")), "unsettled")
 
 
+def by_hub(full: DataFrame, met: DataFrame, due: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of an unsettled band with the band's hub: the member whose shingles are the commonest.
+
+    Of many copies with an edit each, the text without edits is near all the others, which are not near one another.
+    """
+    own = full.select("node", "set").join(due, "node")
+    counters = full.sparkSession.sparkContext.broadcast(_rare_first(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.log2(1.0 + counters.value)
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("set")]
+            central = [weight[(x >> tx.U(64 - COUNTER_BITS)).astype(np.int64)].mean() for x in sets]
+            yield pa.record_batch([batch.column("node"), pa.array(central, pa.float64())], ["node", "central"])
+
+    central = own.select("node", "set").mapInArrow(run, "node long, central double").withColumnRenamed("node", "_node")
+    known = due.join(central, F.col("node") == F.col("_node")).select("node", "component", "central")
+    members = table(met.select("band", "node").distinct().join(known, "node"), "members")
+    hub = members.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct("central", "node")).alias("hub"), F.countDistinct("component").alias("parts"), F.count("*").alias("n")).filter("parts > 1 AND n > 2")
+    pairs = members.join(hub, "band").filter(F.col("component") != F.col("hub.component"))
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def by_minima(full: DataFrame, met: DataFrame, due: DataFrame, minima: int = 4) -> DataFrame:
+    """Pairs (a, b) of the members of an unsettled band that share one further minimum, each with one of them for each minimum:
+    work in proportion to the members, where a band holds many that are nearly as alike as asked for."""
+    rng = np.random.default_rng(23)
+    add, mul = rng.integers(0, 1 << 63, minima, dtype=np.uint64), rng.integers(0, 1 << 63, minima, dtype=np.uint64) * tx.U(2) + tx.U(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("set")]
+            least = [np.array([((x ^ a) * m).min() for a, m in zip(add, mul, strict=True)]).view(np.int64) for x in sets]
+            yield pa.record_batch([batch.column("node"), pa.array(least, pa.list_(pa.int64()))], ["_node", "minima"])
+
+    own = full.select("node", "set").join(due.select("node"), "node", "left_semi").mapInArrow(run, "_node long, minima array<long>")
+    known = due.join(own, F.col("node") == F.col("_node")).select("node", "component", F.posexplode("minima").alias("nth", "least"))
+    members = table(met.select("band", "node").distinct().join(known, "node"), "members")
+    first = members.groupBy("band", "nth", "least").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", "nth"), "node")).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    pairs = members.join(first, ["band", "nth", "least"]).filter(F.col("component") != F.col("p.component"))
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def settled(met: DataFrame, found: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found(node, component)`` after further links within the bands ``met(band, node)``: each step proposes pairs of what is
+    :func:`unsettled`, and ``check`` keeps the links among them."""
+    for pairs in steps:
+        due = unsettled(met, found)
+        if not due.take(1):
+            return found
+        more = table(check(pairs(due)), "more-links")
+        if more.take(1):
+            stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            found = table(components(stars.union(more)), "components")
+        drop(due, more)
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``.
 
@@ -280,19 +338,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None =
     pairs = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = table(confirmed(_likely(pairs, held, sketch, share), full, percent).union(same_id), "links")
     found = table(components(links), "components")
-    # then what still lies in several components of one band: all but its largest component against all
-    due = unsettled(met, found)
-    if due.take(1):
-        more = confirmed(_likely(by_prefix(full, due, percent), held, sketch, share), full, percent)
-        more = table(more, "more-links")
-        if more.take(1):
-            stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            found = table(components(stars.union(more)), "components")
+    steps = (lambda due: by_hub(full, met, due), lambda due: by_prefix(full, due, percent))
+    found = settled(met, found, steps, lambda pairs: confirmed(_likely(pairs, held, sketch, share), full, percent))
 
     of_class = table(classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component")), "labels")
     out = signed.select("doc_id", *key).join(of_class, key, "left")
     component = F.coalesce("component", "doc_id")
-    drop(nodes, shared, met, meeting, held, full, links, due)
+    drop(nodes, shared, met, meeting, held, full, links)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
