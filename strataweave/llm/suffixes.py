@@ -6,7 +6,8 @@ leftmost of equals). Equal windows so choose the same suffix at the same offset,
 
 1. Each task finds its sampled suffixes and, for each, the context that its windows span. Of suffixes with equal
    contexts it keeps the first and marks the others' windows right there, so no context leaves a task twice.
-2. Sampled splitters deal the rest by range of their leading bytes (ties by the hash of the gram). A bucket sorts its
+2. Sampled splitters deal the rest by range of their leading bytes (ties by the hash of the gram); a gram that many sampled
+   documents hold is dealt by its contexts instead, all of which go on to step 3. A bucket sorts its
    suffixes by multikey quicksort: by gram, ties by context, ties by place. Equal keys never lie in two buckets. All but the
    first of a context are marked; where one gram has several contexts, the first of each is left to step 3.
 3. The windows of these few suffixes are compared one by one in the same way, by two hashes each, dealt by these.
@@ -20,7 +21,7 @@ document's parts. No rows: no rows. Extra columns are ignored by :func:`repeats`
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,11 @@ from .blobs import deal
 from .store import table
 
 GRAM = 34
-#: Suffixes that a task gathers before it sends them on, and the documents whose suffixes make the splitters.
-GATHERED, SAMPLED = 400_000, 2000
+#: Suffixes that a task gathers before it sends them on, the documents whose suffixes make the splitters, the times that a
+#: gram must stand in these to be dealt by its contexts, and bytes of text for which there is a bucket (of 20,000 at most).
+GATHERED, SAMPLED, HEAVY, BUCKET_BYTES, MOST_BUCKETS = 400_000, 2000, 40, 1 << 22, 20_000
+#: Tags of blobs: suffixes, marks, suffixes of heavy grams.
+LIGHT, MARKED, SPREAD = range(3)
 #: A row's place in its document: the rows of one doc_id stand this many bytes apart.
 ROW = 1 << 40
 LAST = (1 << 63) - 1
@@ -104,7 +108,6 @@ def _rows(batch: pa.RecordBatch, at: int, n: int) -> tuple[np.ndarray, np.ndarra
     return batch.column("doc").slice(at, n).to_numpy(), batch.column("part").slice(at, n).to_numpy().astype(np.int64) * ROW
 
 
-Sampler = Callable[[np.ndarray, np.ndarray, int], dict[str, np.ndarray]]
 MARKS = "doc long, start long, stop long"
 
 
@@ -122,25 +125,27 @@ def _marks(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array(doc), pa.array(start), pa.array(stop)], ["doc", "start", "stop"])
 
 
-def _splitters(docs: DataFrame, length: int, buckets: int) -> np.ndarray:
-    """Quantiles of the leading bytes of a bounded sample of suffixes; they shape the balance, never the result."""
+def _sampled(docs: DataFrame, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(splitters: quantiles of leading bytes; heavy grams) of the suffixes of a bounded sample of documents; they shape the
+    balance, never the result."""
     total = docs.count()
     sample = docs.sample(min(1.0, SAMPLED / max(1, total)), seed=5).limit(2 * SAMPLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tx.chunks(batch.column("text")):
-                lead = sampled_suffixes(data, offsets, length)["lead"]
-                lead = lead[tx.mix(lead) < np.uint64((1 << 64) // 8)]
-                yield pa.record_batch([pa.array(lead.view(np.int64))], ["lead"])
+                s = sampled_suffixes(data, offsets, length)
+                yield pa.record_batch([pa.array(s[c].view(np.int64)) for c in ("lead", "gram")], ["lead", "gram"])
 
-    keys = np.sort(sample.select("text").mapInArrow(run, "lead long").toArrow()["lead"].to_numpy().view(np.uint64))
-    return np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else np.zeros(0, np.uint64)
+    found = sample.select("text").mapInArrow(run, "lead long, gram long")
+    keys = np.sort(found.filter(F.pmod(F.xxhash64("lead"), F.lit(8)) == 0).select("lead").toArrow()["lead"].to_numpy().view(np.uint64))
+    heavy = found.groupBy("gram").count().filter(F.col("count") >= HEAVY).select("gram").toArrow()["gram"].to_numpy().view(np.uint64)
+    return (np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else np.zeros(0, np.uint64)), heavy
 
 
-def first_pass(docs: DataFrame, splitters: np.ndarray, length: int = 100, sampler: Sampler = sampled_suffixes) -> DataFrame:
-    """Step 1 for ``docs(doc, part, text)``; ``sampler`` finds the suffixes of a chunk of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(splitters)
+def first_pass(docs: DataFrame, splitters: np.ndarray, heavy: np.ndarray, length: int = 100) -> DataFrame:
+    """Step 1 for ``docs(doc, part, text)``."""
+    shared = docs.sparkSession.sparkContext.broadcast((splitters, heavy))  # 20,000 of the first, a few of the second
 
     def flush(held: list[list[np.ndarray]]) -> list[tuple]:
         doc, at, before, after, gram, context, lead = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -150,16 +155,20 @@ def first_pass(docs: DataFrame, splitters: np.ndarray, length: int = 100, sample
         later[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
         doc, at, before, after, lead = (x[order] for x in (doc, at, before, after, lead))
         m = _marks(doc[later], (at - before)[later], (at + after)[later])
-        out = [(int(doc[later][0]) % (len(shared.value) + 1), 1, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
-        keep = ~later
-        out += deal(np.searchsorted(shared.value, lead[keep], side="right"), [gram[keep], context[keep], doc[keep], at[keep], before[keep], after[keep]], 0)
+        splitters, heavy = shared.value
+        out = [(int(doc[later][0]) % (len(splitters) + 1), MARKED, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
+        spread = np.isin(gram, heavy)
+        light, spread = np.flatnonzero(~later & ~spread), np.flatnonzero(~later & spread)
+        rows = lambda i: [c[i] for c in (gram, context, doc, at, before, after)]
+        out += deal(np.searchsorted(splitters, lead[light], side="right"), rows(light), LIGHT)
+        out += deal(bucket_of(tx.mix(gram[spread] ^ context[spread]), len(splitters) + 1), rows(spread), SPREAD)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
             for at, n, data, offsets in tx.chunks(batch.column("text")):
-                s = sampler(data, offsets, length)
+                s = sampled_suffixes(data, offsets, length)
                 doc, base = _rows(batch, at, n)
                 place = s["at"] - offsets[s["owner"]] + base[s["owner"]]
                 held.append([doc[s["owner"]], place, s["at"] - s["first"], s["last"] + length - s["at"], s["gram"], s["context"], s["lead"]])
@@ -174,11 +183,13 @@ def first_pass(docs: DataFrame, splitters: np.ndarray, length: int = 100, sample
 
 
 def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
-    """Marks of every bucket: ``asked`` false. With ``whole`` the keys are contexts, and suffixes of which one gram has
-    several contexts come out too: ``asked`` true, with gram, place and reach."""
+    """Marks of every bucket, without a gram. With ``whole`` the keys are contexts, and suffixes of which one gram has
+    several contexts, or may have, come out too, with gram, place and reach."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def solve(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def solve(held: list[list[np.ndarray]], heavy: bool) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
         gram, second, doc, at, *reach = (np.concatenate(x) for x in zip(*held, strict=True))
         order = multikey_order(gram, second, doc, at)
         gram, second, doc, at = gram[order], second[order], doc[order], at[order]
@@ -190,7 +201,7 @@ def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
         if whole:
             head = np.flatnonzero(~later)
             g = gram[head]
-            several = np.zeros(len(head), bool)
+            several = np.full(len(head), heavy)
             several[1:] |= g[1:] == g[:-1]
             several[:-1] |= g[1:] == g[:-1]
             i = head[several]
@@ -203,25 +214,25 @@ def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
         return pa.record_batch([*m.columns, none, none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
+        held, bucket = {LIGHT: [], SPREAD: []}, None
         for batch in batches:
             for b, tag, blob in zip(*(batch.column(c) for c in ("bucket", "tag", "blob")), strict=True):
-                if tag.as_py():
+                if tag.as_py() == MARKED:
                     yield told(pa.record_batch([pa.array(x) for x in unpack(blob.as_py())], ["doc", "start", "stop"]))
                     continue
-                if b.as_py() != bucket and held:
-                    yield from solve(held)
-                    held = []
-                bucket = b.as_py()
-                held.append(unpack(blob.as_py()))
-        if held:
-            yield from solve(held)
+                if b.as_py() != bucket:
+                    for kind, rows in held.items():
+                        yield from solve(rows, kind == SPREAD)
+                    held, bucket = {LIGHT: [], SPREAD: []}, b.as_py()
+                held[tag.as_py()].append(unpack(blob.as_py()))
+        for kind, rows in held.items():
+            yield from solve(rows, kind == SPREAD)
 
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{MARKS}, gram long, at long")
 
 
 def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -> DataFrame:
-    """The windows of the suffixes that are asked for, dealt by gram and the window's place around it."""
+    """The windows of the suffixes that are asked for, dealt by what they hold."""
     lists = asked.withColumn("part", F.shiftright("start", 40).cast("int")).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "stop", "gram", "at")).alias("asks"))
     joined = docs.join(lists, ["doc", "part"])
 
@@ -232,11 +243,11 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
         later = np.zeros(len(order), bool)
         later[1:] = (gram[1:] == gram[:-1]) & (window[1:] == window[:-1])
         m = _marks(doc[later], place[later], place[later] + length)
-        out = [(int(doc[0]) % buckets, 1, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
+        out = [(int(doc[0]) % buckets, MARKED, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
         keep = ~later
         # gram and window together tell the window: 128 bits. Equal windows meet, and those of one gram spread over all buckets
         key = tx.mix(gram[keep] ^ window[keep])
-        return out + list(deal(bucket_of(key, buckets), [gram[keep], window[keep], doc[keep], place[keep]], 0))
+        return out + list(deal(bucket_of(key, buckets), [gram[keep], window[keep], doc[keep], place[keep]], LIGHT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -274,12 +285,13 @@ def marked(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1)
     else:
         rows = rows.withColumn("part", F.lit(0))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(rows, length, 8 * parts)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+    splitters, heavy = _sampled(rows, length, n)
     slim = rows.select("doc", "part", "text")
-    found = table(buckets(first_pass(slim, splitters, length), True, length), "suffixes")
+    found = table(buckets(first_pass(slim, splitters, heavy, length), True, length), "suffixes")
     asked = found.filter("gram IS NOT NULL")
-    more = table(buckets(_second_pass(slim, asked, length, 8 * parts), False, length), "windows")
+    more = table(buckets(_second_pass(slim, asked, length, n), False, length), "windows")
     return rows, found.filter("gram IS NULL").select("doc", "start", "stop").union(more.select("doc", "start", "stop"))
 
 

@@ -680,3 +680,15 @@ def test_shingles_know_their_texts():
         got = tx.sets(data, offsets)
         assert [len(s) for s in got] == [2, 0, 0, 1, 2, 1] and np.array_equal(got[0], got[4]) and n == 6
     assert sum(n for _, n, _, _ in tx.chunks(pa.array(texts).slice(1, 4), 3)) == 4
+
+
+def test_a_footer_of_many_documents_is_spread(spark, monkeypatch):
+    rng = random.Random(41)
+    footer = prose(rng, 9, 999)[:57]
+    rows = [(k, prose(rng, 40, 5000) + footer + prose(rng, 40, 5000)) for k in range(120)] + [(200 + k, footer * 4) for k in range(3)]
+    monkeypatch.setattr(suffixes, "HEAVY", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = df.selectExpr("doc_id AS doc", "0 AS part", "text")
+    assert len(suffixes._sampled(slim, 100, 8)[1])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(df).collect()}
+    assert got == removed(rows)
