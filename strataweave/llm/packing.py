@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Encoded words that a worker keeps (all are forgotten when there are more), the longest of them, and new ones a call.
 WORDS_KEPT, LONGEST_KEPT, JOINED = 600_000, 48, 2000
+#: Characters that are encoded at a time.
+LONG = 1 << 20
 #: Marks behind letters and before white space: a token run of their own. Special tokens begin with ``SPECIAL``.
 MARKS = re.compile("([.,;:!?$#%&*|])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)([.,;:!?$#%&*|]*)(?=[ \\n]|$)")
 #: Byte-level spelling: printable bytes stand for themselves, the others for letters from U+0100 on.
@@ -42,6 +44,19 @@ SPLITTER = {
 _encoders: dict[str, Encoder] = {}
 
 
+def long_cut(text: str) -> Iterator[str]:
+    """Parts of about ``LONG`` characters at most that end before a blank; one without blanks is longer."""
+    at = 0
+    while len(text) - at > LONG:
+        end = text.rfind(" ", at + 1, at + LONG)
+        end = end if end > at else text.find(" ", at + LONG)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Encoder:
     """Ids as little-endian 32-bit bytes.
 
@@ -72,6 +87,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if any(len(t) > LONG for t in texts):
+            return [b"".join(x for part in long_cut(t) for x in self.encode([part])) if len(t) > LONG else self.encode([t])[0] for t in texts]
         split = [self.cut(t) for t in texts]
         if len(self.words) > WORDS_KEPT:
             self.words = {"": b""}

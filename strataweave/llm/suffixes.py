@@ -85,6 +85,29 @@ def sampled_suffixes(data: np.ndarray, offsets: np.ndarray, length: int = 100, g
     return {"at": at, "first": first, "last": last, "owner": np.searchsorted(offsets, at, side="right") - 1, "gram": grams[at], "context": context, "lead": lead << np.uint64(24) | grams[at] >> np.uint64(40)}
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets) of a chunk, or of the pieces of a long text: each window of ``length`` bytes lies in one of them."""
+    if len(offsets) > 2 or len(data) <= 2 * tx.CHUNK:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - length + 1, tx.CHUNK):
+        part = data[at : at + tx.CHUNK + length - 1]
+        yield at, part, np.array([0, len(part)])
+
+
+def window_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the window at each place, block by block."""
+    if len(data) <= 2 * tx.CHUNK:
+        return tx.spans(tx.prefix(data), places, places + length)
+    out, order = np.empty(len(places), np.uint64), np.argsort(places, kind="stable")
+    sorted_ = places[order]
+    for at in range(0, len(data), tx.CHUNK):
+        own = order[np.searchsorted(sorted_, at) : np.searchsorted(sorted_, at + tx.CHUNK)]
+        if len(own):
+            out[own] = tx.spans(tx.prefix(data[at : at + tx.CHUNK + length]), places[own] - at, places[own] - at + length)
+    return out
+
+
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
     """The order by the first key, ties by the second, and so on; only what is tied is sorted again."""
     order = np.argsort(keys[0], kind="stable")
@@ -168,14 +191,15 @@ def first_pass(docs: DataFrame, splitters: np.ndarray, heavy: np.ndarray, length
         held, count = [], 0
         for batch in batches:
             for at, n, data, offsets in tx.chunks(batch.column("text")):
-                s = sampled_suffixes(data, offsets, length)
                 doc, base = _rows(batch, at, n)
-                place = s["at"] - offsets[s["owner"]] + base[s["owner"]]
-                held.append([doc[s["owner"]], place, s["at"] - s["first"], s["last"] + length - s["at"], s["gram"], s["context"], s["lead"]])
-                count += len(place)
-                if count >= GATHERED:
-                    yield _batch(flush(held))
-                    held, count = [], 0
+                for zero, part, cuts in pieces(data, offsets, length):
+                    s = sampled_suffixes(part, cuts, length)
+                    place = s["at"] + zero - cuts[s["owner"]] + base[s["owner"]]
+                    held.append([doc[s["owner"]], place, s["at"] - s["first"], s["last"] + length - s["at"], s["gram"], s["context"], s["lead"]])
+                    count += len(place)
+                    if count >= GATHERED:
+                        yield _batch(flush(held))
+                        held, count = [], 0
         if held:
             yield _batch(flush(held))
 
@@ -255,7 +279,6 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
             asks = batch.column("asks")
             for at, n, data, offsets in tx.chunks(batch.column("text")):
                 doc, base = _rows(batch, at, n)
-                h = tx.prefix(data)
                 part = asks.slice(at, n)
                 owner = np.repeat(np.arange(n), np.diff(np.asarray(part.offsets)))
                 flat = part.flatten()
@@ -265,7 +288,7 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
                 p = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
                 o = owner[each]
                 local = p - base[o] + offsets[o]
-                held.append([gram[each].view(np.uint64), tx.spans(h, local, local + length), doc[o], p])
+                held.append([gram[each].view(np.uint64), window_hashes(data, local, length), doc[o], p])
                 count += len(p)
                 if count >= 2 * GATHERED:
                     yield _batch(flush(held))
@@ -311,10 +334,10 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 if not found.is_valid:
                     out.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                     continue
-                step = np.zeros(len(data) + 1, np.int64)
+                step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, found.values.field("start").to_numpy() - zero, 1)
                 np.add.at(step, found.values.field("stop").to_numpy() - zero, -1)
-                gone = np.cumsum(step)[:-1] > 0
+                gone = np.cumsum(step, out=step)[:-1] > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             if out:

@@ -692,3 +692,33 @@ def test_a_footer_of_many_documents_is_spread(spark, monkeypatch):
     assert len(suffixes._sampled(slim, 100, 8)[1])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(df).collect()}
     assert got == removed(rows)
+
+
+def test_a_text_of_five_megabytes(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(51)
+    parts = [prose(rng, 3000, 4000) for _ in range(60)]
+    long_ = "\n".join(rng.choice(parts) + rng.choice([" token=abcdefgh1234", "", " cc by"]) for _ in range(330))
+    assert len(long_.encode()) > 5_000_000
+    rows = [(1, long_), (2, long_[:3000]), (3, parts[5] + " all rights reserved"), (4, long_.replace("a", "b", 40))]
+    df = spark.createDataFrame([(i, t, "s", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in rows:
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans_of(t)).encode()).hexdigest()
+    model = quality.grow(np.random.default_rng(1).normal(size=(50, len(quality.STATISTICS))), np.arange(50) % 2, trees=3)
+    assert quality.scored(df, model).count() == 4
+    near = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert near == linked({i: shingle_set(t) for i, t in rows}, 85)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(df).collect()} == removed(rows)
+    lines = {r.doc_id: r.n_removed for r in paragraphs.paragraph_dedup(df).collect()}
+    assert lines[1] > 0.7 * len(long_.encode()) and lines[4] > 0.95 * len(long_.encode())
+    prints = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
+    assert prints[4].near_next < 0.9 and prints[1].n_chars == len(long_) and fingerprints.likeness(prints[1].fingerprint, prints[4].fingerprint) > 0.8
+    assert {r.doc_id: r.n_base for r in licences.licences(df).collect()}[1] == len(re.findall(r"\bcc by\b", long_))
+    tokenizer, ids = Tokenizer.from_file(packing.vocabulary()), {}
+    for p in sorted(packing.pack(df, packing.vocabulary()).collect(), key=lambda p: p.start):
+        ids.setdefault(p.doc_id, []).extend(p.ids)
+    assert ids == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
+    taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    assert sum(len(WORD.findall(r.text)) for r in mixing.drawn(df).collect()) == sum(taken.values()) == sum(len(WORD.findall(t)) for _, t in rows)
