@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_trigram_secret_scan": secrets.OP1_SQL, "op4_setsketch_near_dedup": near_dedup.OP4_SQL, "op6_pivot_top_k": pivot_search.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_trigram_secret_scan": secrets.OP1_SQL, "op4_setsketch_near_dedup": near_dedup.OP4_SQL, "op5_sampled_suffix_dedup": suffixes.OP5_SQL, "op6_pivot_top_k": pivot_search.OP6_SQL}

@@ -350,3 +350,21 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def op5_sampled_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB SQL for the same rows: every window of every text, the first of equal ones stays, and the rest by gaps and islands.
+OP5_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS i, b FROM b WHERE octet_length(b) >= 100)),
+f AS (SELECT s, min((doc_id, i)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+h AS (SELECT doc_id, i, 2 AS r FROM w JOIN f ON w.s = f.s WHERE (doc_id, i) <> first),
+m AS (SELECT doc_id, i AS a, i + 100 AS z, lag(i + 100) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM h WHERE r > 1),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM m),
+s AS (SELECT doc_id, k, min(a) AS a, max(z) AS z FROM g GROUP BY ALL),
+e AS (SELECT doc_id, a AS upto, z AS next FROM s UNION ALL SELECT doc_id, octet_length(b) + 1, NULL FROM b),
+q AS (SELECT e.doc_id, upto, coalesce(lag(next) OVER (PARTITION BY e.doc_id ORDER BY upto, next NULLS LAST), 1) AS since FROM e),
+t AS (SELECT q.doc_id, string_agg(hex(array_slice(b, since, upto - 1)), '' ORDER BY since, upto) FILTER (upto > since) AS kept FROM q JOIN b ON q.doc_id = b.doc_id GROUP BY 1),
+c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY 1)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b JOIN t ON b.doc_id = t.doc_id LEFT JOIN c ON b.doc_id = c.doc_id
+"""
