@@ -267,6 +267,14 @@ SELECT px_row, px_col, is_train, "value" FROM r WHERE r <= CASE WHEN is_train =
     "valid_rmse": "SELECT region, round(sqrt(avg(CASE WHEN pred <> 20 AND truth <> 50 THEN (pred - truth) * (pred - truth) END)), 4) AS rmse FROM px GROUP BY region",
     "tile_offsets": "SELECT set_id, CAST(trunc((ul_y + 15) / CAST(-30 AS DOUBLE)) AS INT) AS \"row\", CAST(trunc((ul_x - 15) / CAST(30 AS DOUBLE)) AS INT) AS \"col\" FROM sset",
     "oob_per_set_agreement": f"WITH {_RATES}, {_agree('SELECT truth AS x, v AS y, set_id FROM setpred WHERE set_id IN (SELECT set_id FROM rates WHERE oob_rate < 70)', 'set_id')}, e AS (SELECT set_id, sqrt(avg((x - y) * (x - y))) AS e FROM src GROUP BY 1) SELECT set_id, round(ac, 4) AS ac, round(e, 4) AS rmse FROM agree JOIN e USING (set_id)",
+    "psu_min_distance": f"""WITH RECURSIVE t AS (SELECT CAST(set_id AS BIGINT) AS tile_id, CAST(set_id % 4 AS VARCHAR) AS stratum, 1 + set_id % 3 AS area, CAST(ctr_x AS DOUBLE) AS x, CAST(ctr_y AS DOUBLE) AS y FROM sset),
+q AS (SELECT stratum, greatest(1, CAST(round_even(sum(area) / CAST((SELECT sum(area) FROM t) AS DOUBLE) * 12, 0) AS BIGINT)) AS quota FROM t GROUP BY 1),
+o AS (SELECT t.*, quota, row_number() OVER (ORDER BY stratum, {_shuffled(1, 'tile_id')}, tile_id) AS n FROM t JOIN q USING (stratum)),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(tile_id BIGINT, stratum VARCHAR, x DOUBLE, y DOUBLE)[]) AS picks
+ UNION ALL SELECT o.n, CASE WHEN len(list_filter(picks, lambda p: p.stratum = o.stratum)) < quota AND len(list_filter(picks, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= 250000)) = 0 THEN list_append(picks, {{'tile_id': tile_id, 'stratum': stratum, 'x': x, 'y': y}}) ELSE picks END FROM walk JOIN o ON o.n = walk.n + 1),
+last AS (SELECT picks FROM walk ORDER BY n DESC LIMIT 1),
+u AS (SELECT unnest(picks) AS p, generate_subscripts(picks, 1) AS k FROM last)
+SELECT p.tile_id AS tile_id, p.stratum AS stratum, CAST((k - 1) % 2 AS BIGINT) AS half FROM u""",
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql(text) for name, text in _RAW.items()}
