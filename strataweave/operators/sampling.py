@@ -67,6 +67,8 @@ def within_limits(sizes: DataFrame, n: int, low: float | None, high: float | Non
     w = Window.partitionBy(*by)
     limit = lambda x: None if x is None else x * n if x < 1 else x
     low, high = limit(low), limit(high)
+    if low is None and high is None:
+        passes = 0
     out = sizes
     for _ in range(passes):
         v = F.col("size")
