@@ -85,7 +85,7 @@ def combination_metrics(pixel_sets: DataFrame, sets: DataFrame, pixel: Sequence[
 def partial_sums(predictions: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The first phase: what the second needs of a part of the sets, for each pixel."""
     v = F.col(value).cast("long")
-    return predictions.groupBy(*by).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return predictions.groupBy(*by).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count(v).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def stitched(parts: DataFrame, pixel: Sequence[str]) -> DataFrame:

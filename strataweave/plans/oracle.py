@@ -251,7 +251,7 @@ a AS (SELECT px_row, px_col, is_train, 1 AS "value" FROM px JOIN z USING (zone)
 r AS (SELECT *, row_number() OVER (PARTITION BY is_train, "value" ORDER BY {_shuffled(1, 'px_row', 'px_col')}, px_row, px_col) AS r FROM a)
 SELECT px_row, px_col, is_train, "value" FROM r WHERE r <= CASE WHEN is_train = 1 THEN CASE WHEN "value" = 1 THEN 70 ELSE 105 END ELSE CASE WHEN "value" = 1 THEN 30 ELSE 45 END END""",
     "whole_bag": f"SELECT CASE WHEN {_shuffled(1, 'obs_id')} % 10000 < 6300 THEN 1 ELSE 0 END AS in_bag, count(*) AS n, CAST(sum(obs_id) AS BIGINT) AS ids, CAST(sum(target) AS BIGINT) AS total FROM obs GROUP BY 1",
-    "oob_attach": f"WITH {_RATES} SELECT s.set_id, coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) AS oob_rate, oob_rmse FROM sset s LEFT JOIN rates r ON s.set_id = r.set_id WHERE NOT coalesce(coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) < 60, false)",
+    "oob_attach": f"WITH {_RATES} SELECT s.set_id, coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) AS oob_rate, oob_rmse FROM sset s LEFT JOIN rates r ON s.set_id = r.set_id WHERE NOT coalesce(coalesce(CASE WHEN s.set_id % 3 = 0 THEN s.set_id % 90 END, oob_rate) < 92, false)",
     "combo_metrics": "WITH c AS (SELECT px_row, px_col, string_agg(set_id, ',' ORDER BY set_id) AS combo, list(set_id) AS ids FROM pxset GROUP BY ALL), u AS (SELECT combo, count(*) AS n_pixels, first(ids) AS ids FROM c GROUP BY combo), e AS (SELECT combo, n_pixels, unnest(ids) AS s FROM u), f AS (SELECT combo, s % 5 AS feature, row_number() OVER (PARTITION BY combo ORDER BY count(*) DESC, s % 5) AS r FROM e GROUP BY combo, s % 5), m AS (SELECT combo, n_pixels, CAST(round(avg((s * 7) % 101)) AS INT) AS oob_rate FROM e GROUP BY ALL) SELECT combo, n_pixels, oob_rate, feature FROM m JOIN f USING (combo) WHERE r = 1",
     "stitched_map": f"SELECT px_row, px_col, {MEAN} AS mean, {STDV} AS stdv, count(*) AS count, min(v) AS low, max(v) AS high FROM setpred GROUP BY ALL",
     "trial_metrics": f"WITH {_TRIALS} SELECT CAST(trial AS INT) AS trial, round(auc, 4) AS auc, round(ac, 4) AS ac, round(r2, 4) AS r2, round(rmse, 4) AS rmse, round(rmse_pm, 4) AS rmse_pm FROM tm",
@@ -266,7 +266,7 @@ SELECT px_row, px_col, is_train, "value" FROM r WHERE r <= CASE WHEN is_train =
     "zone_metadata": r"SELECT n_nationkey AS fid, n_name AS name, CASE WHEN l IS NULL THEN NULL WHEN CAST(regexp_extract(l, '\d+') AS DOUBLE) < 1 THEN CAST(regexp_extract(l, '\d+') AS DOUBLE) * 100 ELSE CAST(regexp_extract(l, '\d+') AS DOUBLE) END AS accuracy FROM nation LEFT JOIN (SELECT c_nationkey, max(c_name) AS l FROM customer GROUP BY 1) ON c_nationkey = n_nationkey",
     "valid_rmse": "SELECT region, round(sqrt(avg(CASE WHEN pred <> 20 AND truth <> 50 THEN (pred - truth) * (pred - truth) END)), 4) AS rmse FROM px GROUP BY region",
     "tile_offsets": "SELECT set_id, CAST(trunc((ul_y + 15) / CAST(-30 AS DOUBLE)) AS INT) AS \"row\", CAST(trunc((ul_x - 15) / CAST(30 AS DOUBLE)) AS INT) AS \"col\" FROM sset",
-    "oob_per_set_agreement": f"WITH {_RATES}, {_agree('SELECT truth AS x, v AS y, set_id FROM setpred WHERE set_id IN (SELECT set_id FROM rates WHERE oob_rate < 70)', 'set_id')}, e AS (SELECT set_id, sqrt(avg((x - y) * (x - y))) AS e FROM src GROUP BY 1) SELECT set_id, round(ac, 4) AS ac, round(e, 4) AS rmse FROM agree JOIN e USING (set_id)",
+    "oob_per_set_agreement": f"WITH {_RATES}, {_agree('SELECT truth AS x, v AS y, set_id FROM setpred WHERE set_id IN (SELECT set_id FROM rates WHERE oob_rate < 92)', 'set_id')}, e AS (SELECT set_id, sqrt(avg((x - y) * (x - y))) AS e FROM src GROUP BY 1) SELECT set_id, round(ac, 4) AS ac, round(e, 4) AS rmse FROM agree JOIN e USING (set_id)",
     "psu_min_distance": f"""WITH RECURSIVE t AS (SELECT CAST(set_id AS BIGINT) AS tile_id, CAST(set_id % 4 AS VARCHAR) AS stratum, 1 + set_id % 3 AS area, CAST(ctr_x AS DOUBLE) AS x, CAST(ctr_y AS DOUBLE) AS y FROM sset),
 q AS (SELECT stratum, greatest(1, CAST(round_even(sum(area) / CAST((SELECT sum(area) FROM t) AS DOUBLE) * 12, 0) AS BIGINT)) AS quota FROM t GROUP BY 1),
 o AS (SELECT t.*, quota, row_number() OVER (ORDER BY stratum, {_shuffled(1, 'tile_id')}, tile_id) AS n FROM t JOIN q USING (stratum)),

@@ -740,7 +740,7 @@ def _rated(spark, d) -> DataFrame:
 @query
 def oob_attach(spark, d):
     p = fx.predictions(spark, d).withColumnRenamed("v", "prediction")
-    return model.without(model.with_rates(_rated(spark, d), model.oob_metrics(p, "truth")), "oob_rate < 60", ["oob_rate", "oob_rmse"])
+    return model.without(model.with_rates(_rated(spark, d), model.oob_metrics(p, "truth")), "oob_rate < 92", ["oob_rate", "oob_rmse"])
 
 
 @query
@@ -833,7 +833,7 @@ def tile_offsets(spark, d):
 def oob_per_set_agreement(spark, d):
     """Reference against out-of-bag prediction of the sets with a low rate: RMSE and agreement of each."""
     p = fx.predictions(spark, d)
-    low = model.oob_metrics(p.withColumnRenamed("v", "prediction"), "truth").filter("oob_rate < 70").select("set_id")
+    low = model.oob_metrics(p.withColumnRenamed("v", "prediction"), "truth").filter("oob_rate < 92").select("set_id")
     own = p.join(low, "set_id")
     e = own.groupBy("set_id").agg(r(ev.rmse("truth", "v")).alias("rmse"))
     return ev.agreement(own, "truth", "v", ["set_id"]).select("set_id", r("ac").alias("ac")).join(e, "set_id")
