@@ -1,4 +1,8 @@
-"""Neighbourhood operators: pixels are dealt to the centres they are neighbours of and aggregated there."""
+"""Neighbourhood operators.
+
+Pixels are dealt once, to square blocks with a halo as wide as the kernel; within a block each is sent to the centres it is
+a neighbour of and aggregated there, without another shuffle.
+"""
 
 from __future__ import annotations
 
@@ -32,10 +36,23 @@ def neighbours(pixels: DataFrame, value: str, offsets: Sequence[tuple[int, int]]
     return out.filter(F.col(row).between(0, reflect[0]) & F.col(column).between(0, reflect[1]))
 
 
+#: Side of a block in pixels.
+BLOCK = 64
+
+
 def focal(pixels: DataFrame, value: str, offsets: Sequence[tuple[int, int]], stats: dict[str, Column], row: str = "row", column: str = "col") -> DataFrame:
-    """``stats`` over ``v`` (and ``k``) of each pixel's neighbourhood; nodata must be null, and centres are the pixels themselves."""
-    near = neighbours(pixels, value, offsets, row, column).groupBy(row, column).agg(*[c.alias(n) for n, c in stats.items()])
-    return pixels.select(row, column).join(near, [row, column])
+    """``stats`` over ``v`` (and ``k``) of each pixel's neighbourhood; nodata must be null, and centres are the pixels themselves,
+    so the kernel holds the offset (0, 0)."""
+    centre = list(offsets).index((0, 0))
+    reach = [max(abs(o[axis]) for o in offsets) for axis in (0, 1)]
+    around = lambda x, r: F.explode(F.sequence(F.floor((F.col(x) - r) / BLOCK), F.floor((F.col(x) + r) / BLOCK)))
+    rows = pixels.select(F.col(row).alias("_r"), F.col(column).alias("_c"), F.col(value).alias("v"))
+    held = rows.withColumn("_by", around("_r", reach[0])).withColumn("_bx", around("_c", reach[1])).repartition("_by", "_bx")
+    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(offsets)])
+    sent = held.withColumn("_o", F.explode(kernel)).select("_by", "_bx", (F.col("_r") - F.col("_o.i")).alias(row), (F.col("_c") - F.col("_o.j")).alias(column), F.col("_o.k").alias("k"), "v")
+    own = sent.filter((F.floor(F.col(row) / BLOCK) == F.col("_by")) & (F.floor(F.col(column) / BLOCK) == F.col("_bx")))
+    near = own.groupBy("_by", "_bx", row, column).agg(*[c.alias(n) for n, c in stats.items()], F.max(F.col("k") == centre).alias("_there"))
+    return near.filter("_there").drop("_by", "_bx", "_there")
 
 
 def share_nonzero(v: str = "v") -> Column:
