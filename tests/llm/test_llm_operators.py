@@ -206,6 +206,29 @@ def test_a_quasi_clique_is_settled_exactly(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_pages_of_one_template_make_no_pairs_below_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    template = rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2)
+    pages = [np.sort(np.concatenate([template, rng.integers(0, 1 << 63, int(n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])) for n in rng.integers(10, 14, 300)]
+    near = [np.sort(np.concatenate([pages[0][:-2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]))]  # a link that must be found
+    sets = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(pages + near)], "node long, set binary").cache()
+    due = sets.select("node", F.col("node").alias("component"), (F.col("node") > 0).alias("minor"))
+    pairs = {(r.a, r.b) for r in near_dedup.by_prefix(sets, due, 85).collect()}
+    assert (0, 300) in pairs and len(pairs) < 10  # of 45,150
+
+
+def test_hubs_link_copies_with_an_edit_each(spark):
+    rng = random.Random(18)
+    base = prose(rng, 60, 4000).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 60):
+        words = list(base)
+        words[6 + k % 48] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert got == linked({i: shingle_set(t) for i, t in rows}, 80) and set(got.values()) == {0}
+
+
 def test_near_duplicates_in_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True)] * 3 + [("None", "None", False)] * 2
