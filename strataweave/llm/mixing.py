@@ -118,14 +118,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a row's partition and place in it, in the order of the sources
     ordered = table(found.repartitionByRange(parts, "_mix_source").sortWithinPartitions("_mix_source").withColumn("_at", F.monotonically_increasing_id()), "sources")
-    before, counts = 0, {}
+    before, starts = 0, []
     for r in ordered.groupBy(F.shiftright("_at", 33).alias("p")).count().orderBy("p").collect():  # a row for each partition
-        counts[r["p"]], before = before, before + r["count"]
-    if not counts:
-        return ordered.select("_mix_source", "_mix_source_size", F.lit(0.0).alias("_mix_target"), "_mix_docs")
-    offsets = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-    rank = F.element_at(offsets, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND((1 << 33) - 1)
-    rows = ordered.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).filter("_mix_source_size > 0")
+        starts.append((r["p"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "_p long, _before long"))
+    numbered = ordered.join(offsets, F.shiftright("_at", 33) == F.col("_p")).withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_before", "_at")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    rows = table(numbered.filter("_mix_source_size > 0").withColumn("_weight", weight), "weights")
     total = share * (rows.agg(F.sum("_mix_source_size")).first()[0] or 0)
     limit, unit = most * F.col("_mix_source_size"), 0.0
     while True:  # the unit only rises, and with it the sources that it fills
