@@ -4,7 +4,7 @@ Every document's set is its distinct word shingles. Register ``i`` holds the exp
 ``K_i = clamp(floor(1 - log_b(min_x e_i(x))), 0, q + 1)`` over exponential variates ``e_i(x)`` of rate ``a``: registers of
 a union are the larger of both, and equal registers grow likelier with the Jaccard similarity. Rows of registers form
 bands; documents that share a band meet first around one member of the band. Where that left several components in a band,
-their members meet around its hub, the text of the commonest shingles, and what is left is joined on prefixes of their full sets, rarest shingles first, which finds every further link without
+their members are joined on prefixes of their full sets, rarest shingles first, which finds every further link without
 making all pairs of a group. A pair goes on if its jointly estimated similarity may reach the threshold, and is linked
 only by its full sets.
 
@@ -338,8 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, sketch: Sketch | None =
     pairs = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = table(confirmed(_likely(pairs, held, sketch, share), full, percent).union(same_id), "links")
     found = table(components(links), "components")
-    steps = (lambda due: by_hub(full, met, due), lambda due: by_prefix(full, due, percent))
-    found = settled(met, found, steps, lambda pairs: confirmed(_likely(pairs, held, sketch, share), full, percent))
+    found = settled(met, found, [lambda due: by_prefix(full, due, percent)], lambda pairs: confirmed(_likely(pairs, held, sketch, share), full, percent))
 
     of_class = table(classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component")), "labels")
     out = signed.select("doc_id", *key).join(of_class, key, "left")
