@@ -44,16 +44,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that :func:`table` returned; nothing may read them any more. The JVM is asked to collect, so that
-    the shuffle files of the queries that made them go too."""
+    """Delete tables that :func:`table` returned; nothing may read them any more."""
     for t in tables:
         out, path = _paths.pop(id(t), (None, None))
         if path:
             _written[:] = [w for w in _written if w[1] != path]
             _delete(out.sparkSession, path)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the JVM to collect, so that the shuffle files of finished queries go from the disks now and not some time later."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
