@@ -59,8 +59,20 @@ def _splits(samples: DataFrame, by: str, features: Sequence[str], target: str, s
     return ok.groupBy(by, "feature").agg(best).select(by, "feature", F.col("_b.gain").alias("gain"), (-F.col("_b.neg")).alias("threshold"), F.col("_b.nl").alias("n_left"), F.col("_b.sl").alias("s_left"), F.col("_b.nt").alias("n"), F.col("_b.st").alias("s"))
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: float = 0.005, depth: int = 30) -> list[tuple]:
-    """CART on arrays: (node, feature or -1, threshold, left, right, value, n, gain). Ties go to the lowest feature, then threshold."""
+def features_tried(wanted: float | int | str | None, n: int) -> int:
+    """How many of ``n`` predictors a split tries: a share, a number, sqrt, log2, or all."""
+    if wanted in (None, "auto", "None"):
+        return n
+    m = {"sqrt": n**0.5, "log2": np.log2(n)}[wanted] if isinstance(wanted, str) else wanted * n if isinstance(wanted, float) else wanted
+    return min(n, max(1, int(m)))
+
+
+def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: float = 0.005, depth: int = 30, max_features: float | int | str | None = None, seed: int = 0) -> list[tuple]:
+    """CART on arrays: (node, feature or -1, threshold, left, right, value, n, gain). Ties go to the lowest feature, then threshold.
+
+    With ``max_features`` each split tries that many predictors, drawn by ``seed``.
+    """
+    rng, tried = np.random.default_rng(seed), features_tried(max_features, x.shape[1])
     least = max(1, int(np.ceil(share * len(y))))
     labels = np.unique(y)
     hot = (y[:, None] == labels[None, :]).astype(float) if kind == "classifier" else y[:, None].astype(float)
@@ -77,7 +89,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: floa
         base = (total**2).sum() / len(rows)
         best = (1e-9 * max(1.0, abs(base)), -1, 0.0)
         if level < depth and len(rows) >= 2 * least:
-            for f in range(x.shape[1]):
+            for f in range(x.shape[1]) if tried == x.shape[1] else sorted(rng.permutation(x.shape[1])[:tried].tolist()):
                 order = np.argsort(x[rows, f], kind="stable")
                 v = x[rows[order], f]
                 left = h[order].cumsum(0)[:-1]
@@ -95,7 +107,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, kind: str = "regressor", share: floa
     return [tuple(n) for n in nodes]
 
 
-def train_sets(members: DataFrame, features: Sequence[str], target: str, kind: str = "regressor", by: str = "set_id", share: float = 0.005) -> DataFrame:
+def train_sets(members: DataFrame, features: Sequence[str], target: str, kind: str = "regressor", by: str = "set_id", share: float = 0.005, max_features: float | int | str | None = None, seed: int = 1) -> DataFrame:
     """A node table with a tree for each set, grown on its rows in bag; a set with a missing predictor has none.
 
     One set is one task's work, as a tree is fitted on all its samples; sets bound that by their area.
@@ -105,7 +117,7 @@ def train_sets(members: DataFrame, features: Sequence[str], target: str, kind: s
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("obs_id")
         x, y = pdf[names].to_numpy(float), pdf[target].to_numpy(float)
-        rows = grow_tree(x, y, kind, share) if not np.isnan(x).any() else []
+        rows = grow_tree(x, y, kind, share, max_features=max_features, seed=seed * 1_000_003 + int(pdf[by].iloc[0])) if not np.isnan(x).any() else []
         return pd.DataFrame([(pdf[by].iloc[0], r[0], names[r[1]] if r[1] >= 0 else None, *r[2:]) for r in rows], columns=["set_id", "node_id", "feature", "threshold", "left", "right", "value", "n", "gain"])
 
     return members.filter("in_bag = 1").select(by, "obs_id", target, *names).groupBy(by).applyInPandas(fit, NODES)

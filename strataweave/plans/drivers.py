@@ -53,13 +53,13 @@ def support_sets(spark: SparkSession, params: Params, bounds: tuple[int, int, in
 def train(samples: DataFrame, sets: DataFrame, params: Params, features: Sequence[str], target: str, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets with their out-of-bag metrics and number of samples, tree nodes, members with in_bag).
 
-    min_obs, and if given model_type (regressor or classifier) and oob_drop, an expression whose sets go. Sets are numbered
+    min_obs, and if given max_features, model_type (regressor or classifier) and oob_drop, an expression whose sets go. Sets are numbered
     from 0 without gaps over those that are left.
     """
     kind = params.get("model_type", "regressor")
     inside = joins.points_in_rectangles(samples, sets, width)
     bags = sampling.bagged(inside, "set_id", "obs_id", least=int(params.get("min_obs", 1)))
-    nodes = model.train_sets(bags, features, target, kind)
+    nodes = model.train_sets(bags, features, target, kind, max_features=ps.max_features(params.get("max_features", "None")))
     oob = model.oob_metrics(model.predict_nodes(bags.filter("in_bag = 0"), nodes, features, ["obs_id", target]), target, kind)
     rated = sets.join(bags.groupBy("set_id").agg(F.count("*").alias("n_samples")), "set_id").join(oob, "set_id", "left")
     metrics = [c for c in oob.columns if c != "set_id"]

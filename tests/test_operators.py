@@ -100,6 +100,15 @@ def test_trees_split_where_the_error_falls_most():
     assert {n[5] for n in classes if n[1] < 0} == {1.0, 2.0}
 
 
+def test_splits_try_as_many_predictors_as_asked_for():
+    assert [model.features_tried(w, 9) for w in (None, 0.5, 4, "sqrt", "log2", 0.01, 40)] == [9, 4, 4, 3, 3, 1, 9]
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=200)
+    one = [model.grow_tree(x, y, depth=1, max_features=1, seed=s)[0][1] for s in range(40)]
+    assert set(one) == {0, 1, 2, 3} and model.grow_tree(x, y, max_features=2, seed=3) == model.grow_tree(x, y, max_features=2, seed=3)
+    assert model.grow_tree(x, y, max_features=4) == model.grow_tree(x, y)
+
+
 def test_drop_expressions(spark):
     sets = spark.createDataFrame([(1, 49), (2, 50), (3, None)], "set_id int, oob_rate int")
     assert {r.set_id for r in model.without(sets, "oob_rate >= 50", ["oob_rate"]).collect()} == {1, 3}
