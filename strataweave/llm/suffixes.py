@@ -255,22 +255,24 @@ def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{MARKS}, gram long, at long")
 
 
-def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -> DataFrame:
-    """The windows of the suffixes that are asked for, dealt by what they hold."""
+def _second_pass(docs: DataFrame, asked: DataFrame, heavy: np.ndarray, length: int, buckets: int) -> DataFrame:
+    """The windows of the suffixes that are asked for, dealt by gram and their place around it, those of heavy grams by what they hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
     lists = asked.withColumn("part", F.shiftright("start", 40).cast("int")).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "stop", "gram", "at")).alias("asks"))
     joined = docs.join(lists, ["doc", "part"])
 
     def flush(held: list[list[np.ndarray]]) -> list[tuple]:
-        gram, window, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        gram, window, doc, place, offset = (np.concatenate(x) for x in zip(*held, strict=True))
         order = multikey_order(gram, window, doc, place)
-        gram, window, doc, place = (x[order] for x in (gram, window, doc, place))
+        gram, window, doc, place, offset = (x[order] for x in (gram, window, doc, place, offset))
         later = np.zeros(len(order), bool)
         later[1:] = (gram[1:] == gram[:-1]) & (window[1:] == window[:-1])
         m = _marks(doc[later], place[later], place[later] + length)
         out = [(int(doc[0]) % buckets, MARKED, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
         keep = ~later
-        # gram and window together tell the window: 128 bits. Equal windows meet, and those of one gram spread over all buckets
-        key = tx.mix(gram[keep] ^ window[keep])
+        # gram and window together tell the window: 128 bits. Equal windows meet; eight neighbours share a bucket, where their
+        # columns take little room, but for grams that so many documents hold that they would fill it
+        key = tx.mix(gram[keep] ^ np.where(np.isin(gram[keep], shared.value), window[keep], (offset[keep] >> 3).astype(np.uint64)))
         return out + list(deal(bucket_of(key, buckets), [gram[keep], window[keep], doc[keep], place[keep]], LIGHT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,7 @@ def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -
                 p = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
                 o = owner[each]
                 local = p - base[o] + offsets[o]
-                held.append([gram[each].view(np.uint64), window_hashes(data, local, length), doc[o], p])
+                held.append([gram[each].view(np.uint64), window_hashes(data, local, length), doc[o], p, place[each] - p])
                 count += len(p)
                 if count >= 2 * GATHERED:
                     yield _batch(flush(held))
@@ -314,7 +316,7 @@ def marked(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     slim = rows.select("doc", "part", "text")
     found = table(buckets(first_pass(slim, splitters, heavy, length), True, length), "suffixes")
     asked = found.filter("gram IS NOT NULL")
-    more = table(buckets(_second_pass(slim, asked, length, n), False, length), "windows")
+    more = table(buckets(_second_pass(slim, asked, heavy, length, n), False, length), "windows")
     return rows, found.filter("gram IS NULL").select("doc", "start", "stop").union(more.select("doc", "start", "stop"))
 
 
