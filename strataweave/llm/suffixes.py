@@ -10,7 +10,7 @@ leftmost of equals). Equal windows so choose the same suffix at the same offset,
    documents hold is dealt by its contexts instead, all of which go on to step 3. A bucket sorts its
    suffixes by multikey quicksort: by gram, ties by context, ties by place. Equal keys never lie in two buckets. All but the
    first of a context are marked; where one gram has several contexts, the first of each is left to step 3.
-3. The windows of these few suffixes are compared one by one in the same way, by two hashes each, dealt by these.
+3. The windows of these few suffixes are compared one by one in the same way, by two hashes each.
 4. The marked intervals of each document are merged, and the rest of its bytes is digested.
 
 Defined cases. Null text: as an empty one, which loses nothing. Rows that share a doc_id count as parts of one document
@@ -255,9 +255,8 @@ def buckets(dealt: DataFrame, whole: bool, length: int) -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{MARKS}, gram long, at long")
 
 
-def _second_pass(docs: DataFrame, asked: DataFrame, heavy: np.ndarray, length: int, buckets: int) -> DataFrame:
-    """The windows of the suffixes that are asked for, dealt by gram and their place around it, those of heavy grams by what they hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def _second_pass(docs: DataFrame, asked: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The windows of the suffixes that are asked for, dealt by gram and their place around it."""
     lists = asked.withColumn("part", F.shiftright("start", 40).cast("int")).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "stop", "gram", "at")).alias("asks"))
     joined = docs.join(lists, ["doc", "part"])
 
@@ -270,9 +269,9 @@ def _second_pass(docs: DataFrame, asked: DataFrame, heavy: np.ndarray, length: i
         m = _marks(doc[later], place[later], place[later] + length)
         out = [(int(doc[0]) % buckets, MARKED, pack(*(c.to_numpy() for c in m.columns)))] if m.num_rows else []
         keep = ~later
-        # gram and window together tell the window: 128 bits. Equal windows meet; eight neighbours share a bucket, where their
-        # columns take little room, but for grams that so many documents hold that they would fill it
-        key = tx.mix(gram[keep] ^ np.where(np.isin(gram[keep], shared.value), window[keep], (offset[keep] >> 3).astype(np.uint64)))
+        # gram and window together tell the window: 128 bits. Equal windows meet, and eight neighbours share a bucket: their
+        # columns take little room, and a task sends few blobs
+        key = tx.mix(gram[keep] ^ (offset[keep] >> 3).astype(np.uint64))
         return out + list(deal(bucket_of(key, buckets), [gram[keep], window[keep], doc[keep], place[keep]], LIGHT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +315,7 @@ def marked(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     slim = rows.select("doc", "part", "text")
     found = table(buckets(first_pass(slim, splitters, heavy, length), True, length), "suffixes")
     asked = found.filter("gram IS NOT NULL")
-    more = table(buckets(_second_pass(slim, asked, heavy, length, n), False, length), "windows")
+    more = table(buckets(_second_pass(slim, asked, length, n), False, length), "windows")
     return rows, found.filter("gram IS NULL").select("doc", "start", "stop").union(more.select("doc", "start", "stop"))
 
 
