@@ -45,6 +45,7 @@ def _splits(samples: DataFrame, by: str, features: Sequence[str], target: str, s
     """
     long_ = samples.select(by, target, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select(by, target, "x.feature", "x.v")
     t = F.col(target).cast("long")
+    long_ = long_.repartition(by, "feature")  # one shuffle for the counts, the running sums and the best of each
     d = long_.groupBy(by, "feature", "v").agg(F.count("*").alias("n"), F.sum(t).alias("s"))
     own = Window.partitionBy(by, "feature")
     run = own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
