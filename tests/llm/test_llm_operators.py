@@ -402,6 +402,22 @@ def test_search_equals_brute_force(spark):
     assert pivot_search.top_k(df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_gathers_no_matrices_for_a_broadcast(spark, monkeypatch):
+    plans, own = {}, pivot_search.table
+    monkeypatch.setattr(pivot_search, "table", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and own(df, name))
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 8)) * np.where(np.arange(300) % 3, 1, 1e4)[:, None]  # too large for 16 bits and single precision
+    m[100:200] = m[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in pivot_search.top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert "SortMergeJoin" in plans["first"] and "Broadcast" not in plans["first"]
+    q = np.floor(256 * m).astype(np.int64)
+    want = []
+    for i in range(0, 300, 50):
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5])]
+    assert got == want
+
+
 # fingerprints
 
 
