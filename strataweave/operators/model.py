@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,6 +253,173 @@ def mllib_forest(samples: DataFrame, features: Sequence[str], target: str, kind:
     return model.transform(vectors if scored is None else assembler.transform(scored))
 
 
+def _histograms(rows: DataFrame, names: Sequence[str], buckets: int = 1 << 16) -> list[np.ndarray]:
+    """For each of ``names``, (upper ends, rows) of the buckets of equal width that have rows, from all rows."""
+    ends = rows.agg(*[f(n).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    lo, hi = (np.array([ends[f"{k}{i}"] for i in range(len(names))]) for k in ("lo", "hi"))
+    wide = np.where(hi > lo, hi - lo, 1.0)
+
+    def count(batches):
+        n = np.zeros((len(names), buckets), np.int64)
+        for b in batches:
+            for i, c in enumerate(names):
+                n[i] += np.bincount(np.clip(np.floor((b.column(c).to_numpy() - lo[i]) / wide[i] * buckets), 0, buckets - 1).astype(np.int64), minlength=buckets)
+        at = np.flatnonzero(n.ravel())
+        yield pa.record_batch([pa.array(at), pa.array(n.ravel()[at])], ["at", "n"])
+
+    found = rows.select(*names).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
+    at, n = found["at"].to_numpy(), found["n"].to_numpy()
+    return [(lo[i] + (at[own] % buckets + 1) * wide[i] / buckets, n[own]) for i in range(len(names)) for own in [at // buckets == i]]
+
+
+def _cuts(ends: np.ndarray, n: np.ndarray, bins: int) -> np.ndarray:
+    """At most ``bins`` - 1 thresholds: all that tell buckets apart, or those nearest to equal shares of the rows."""
+    if len(ends) <= bins:
+        return ends[:-1]
+    return ends[np.unique(np.searchsorted(np.cumsum(n), np.arange(1, bins) * n.sum() / bins).clip(0, len(ends) - 2))]
+
+
+def _walk(tree: tuple[np.ndarray, ...], steps: int, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The node of ``tree`` (feature, cut, left: arrays; a leaf's left is itself, above no cut) that each of ``rows`` ends in
+    after ``steps``; ``codes`` has a row for each feature."""
+    feature, cut, left = tree
+    flat, n = codes.ravel(), codes.shape[1]
+    node = np.zeros(len(rows), np.int64)
+    for _ in range(steps):
+        node = left[node] + (flat[feature[node] * n + rows] > cut[node])
+    return node
+
+
+def _gathered(batches, columns: Sequence[str], rows: int = 1 << 17):
+    """The batches' ``columns`` as arrays of about ``rows`` values."""
+    held, count = [], 0
+    for b in batches:
+        held.append(b.select(list(columns)))
+        count += b.num_rows
+        if count >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, count = [], 0
+    if count:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
+def forest_votes(samples: DataFrame, features: Sequence[str], target: str, trees: int, key: str = "obs_id", share: float = 0.63, least_share: float = 0.005, depth: int = 10, bins: int = 32, max_features: float | int | str | None = None, seed: int = 1) -> DataFrame:
+    """(key, target, vote, n_trees): for each row out of some bag, the vote of the classification trees that didn't see it,
+    ties to the smallest class, and their number. Rows with a missing predictor or class take no part.
+
+    The bags are those of :func:`forest_members`. All trees grow together, a level at a time: a pass over all rows
+    counts classes by tree, node, feature and bin of its values, and the driver picks each node's split as :func:`grow_tree`
+    does (up to 63 trees, 127 bins). Rows are derived and binned once, whatever the trees and levels.
+    """
+    from pyspark import StorageLevel
+
+    from ..functions.numeric import shuffled
+
+    names = sorted(features)
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = samples.filter(whole & F.col(target).isNotNull()).select(key, target, *[F.col(c).cast("double").alias(c) for c in names]).persist(StorageLevel.DISK_ONLY)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    labels = [r[0] for r in rows.select(target).distinct().orderBy(target).collect()]
+    if not labels:
+        return rows.select(key, target, F.lit(None).cast("double").alias("vote"), F.lit(0).cast("long").alias("n_trees"))
+    cuts = [_cuts(ends, n, bins) for ends, n in _histograms(rows, names)]
+    of_label, width, classes = {x: i for i, x in enumerate(labels)}, max(len(c) for c in cuts) + 1, len(labels)
+    codes = [f"c{i}" for i in range(len(names))]
+
+    def binned(batches):
+        for b in batches:
+            made = [pa.array(np.searchsorted(cuts[i], b.column(c).to_numpy()).astype(np.int8)) for i, c in enumerate(names)]
+            label = np.array([of_label[x] for x in labels])[np.searchsorted(labels, b.column(target).to_numpy())].astype(np.int32)
+            yield pa.record_batch([b.column(key), b.column(target), pa.array(label), *made, b.column("bags")], [key, target, "label", *codes, "bags"])
+
+    bags = reduce(lambda a, b: a.bitwiseOR(b), [F.when(shuffled(seed, key, F.lit(t)) % 10000 < int(share * 10000), 1 << t).otherwise(0).cast("long") for t in range(trees)])
+    data = rows.withColumn("bags", bags).mapInArrow(binned, f"{key} {kinds[key]}, {target} {kinds[target]}, label int, {', '.join(f'{c} tinyint' for c in codes)}, bags long").persist(StorageLevel.DISK_ONLY)
+    data.count()
+    rows.unpersist()
+
+    tried = features_tried(max_features, len(names))
+    nodes = [[[0, 127, 0]] for _ in range(trees)]  # of each tree: feature, cut, left; right follows left
+    value: list[list[int]] = [[0] for _ in range(trees)]
+    due, least = [(t, 0) for t in range(trees)], [0] * trees
+    for level in range(depth + 1):
+        grown, slot = [tuple(np.array(n).T) for n in nodes], [np.full(len(n), -1) for n in nodes]
+        for i, (t, node) in enumerate(due):
+            slot[t][node] = i
+
+        def count(batches, grown=grown, slot=slot, size=len(due), level=level):
+            n = np.zeros(size * len(names) * width * classes, np.int64)
+            for *code, label, bag in _gathered(batches, [*codes, "label", "bags"]):
+                code = np.stack(code)
+                for t in range(trees):
+                    if slot[t].max() < 0:
+                        continue
+                    own = np.flatnonzero(bag >> t & 1)
+                    at = slot[t][_walk(grown[t], level, code, own)]
+                    own, at = own[at >= 0], at[at >= 0]
+                    if not len(own):
+                        continue
+                    first = int(at.min())  # a tree's nodes follow each other
+                    span = (int(at.max()) - first + 1) * len(names) * width * classes
+                    base = (at - first) * (len(names) * width * classes) + label[own]
+                    for i, c in enumerate(code):
+                        n[first * len(names) * width * classes :][:span] += np.bincount(base + (c[own].astype(np.int64) + i * width) * classes, minlength=span)
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+        found = data.select("label", *codes, "bags").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros(len(due) * len(names) * width * classes, np.int64)
+        n[found["at"].to_numpy()] = found["n"].to_numpy()
+        n = n.reshape(len(due), len(names), width, classes).astype(float)
+        following = []
+        for i, (t, node) in enumerate(due):
+            total = n[i, 0].sum(0)
+            size = total.sum()
+            value[t][node] = int(total.argmax())
+            least[t] = least[t] or max(1, int(np.ceil(least_share * size)))
+            if level == depth or size < 2 * least[t]:
+                continue
+            base = (total**2).sum() / size
+            best = (1e-9 * max(1.0, abs(base)), -1, 0)
+            chosen = range(len(names)) if tried == len(names) else sorted(np.random.default_rng([seed, t, node]).permutation(len(names))[:tried].tolist())
+            for f in chosen:
+                left = n[i, f].cumsum(0)[:-1]
+                nl = left.sum(1)
+                ok = (nl >= least[t]) & (size - nl >= least[t])
+                if ok.any():
+                    gain = np.where(ok, (left**2).sum(1) / np.maximum(nl, 1) + ((total - left) ** 2).sum(1) / np.maximum(size - nl, 1) - base, -1.0)
+                    k = int(gain.argmax())
+                    if gain[k] > best[0] * (1 + 1e-12):
+                        best = (float(gain[k]), f, k)
+            if best[1] >= 0:
+                left = len(nodes[t])
+                nodes[t][node] = [best[1], best[2], left]
+                following += [(t, left), (t, left + 1)]
+                nodes[t] += [[0, 127, left], [0, 127, left + 1]]
+                value[t] += [0, 0]
+        due = following
+        if not due:
+            break
+    grown, leaf, empty = [tuple(np.array(n).T) for n in nodes], [np.array(v) for v in value], [not x for x in least]
+
+    def vote(batches):
+        for *code, bag, ids, truth in _gathered(batches, [*codes, "bags", key, target]):
+            code = np.stack(code)
+            votes = np.zeros((len(bag), classes), np.int64)
+            for t in range(trees):
+                out = np.flatnonzero(~bag >> t & 1) if not empty[t] else np.zeros(0, np.int64)
+                votes[out, leaf[t][_walk(grown[t], depth, code, out)]] += 1
+            yield pa.record_batch([pa.array(ids), pa.array(truth), *(pa.array(votes[:, i]) for i in range(classes))], [key, target, *(f"v{i}" for i in range(classes))])
+
+    each = data.mapInArrow(vote, f"{key} {kinds[key]}, {target} {kinds[target]}, {', '.join(f'v{i} long' for i in range(classes))}")
+    summed = each.groupBy(key, target).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(classes)])
+    most = F.greatest(*[F.col(f"v{i}") for i in range(classes)]) if classes > 1 else F.col("v0")
+    vote_of = F.coalesce(*[F.when(F.col(f"v{i}") == most, F.lit(float(x))) for i, x in enumerate(labels)])
+    number = reduce(lambda a, b: a + b, [F.col(f"v{i}") for i in range(classes)])
+    return summed.select(key, target, vote_of.alias("vote"), number.alias("n_trees")).filter("n_trees > 0")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -620,12 +620,7 @@ def important_features(spark, d):
 
 @query
 def forest_vote(spark, d):
-    m = model.forest_members(fx.samples(spark, d), 8)
-    votes = []
-    for k in range(8):  # a tree over everything is too much for a task, so each is fitted by all of them
-        own = m.filter(F.col("set_id") == k)
-        votes.append(model.mllib_forest(own.filter("in_bag = 1"), FEATURES, "target_class", trees=1, seed=k + 1, scored=own.filter("in_bag = 0")).select("obs_id", "target_class", "prediction"))
-    return model.union_all(votes).groupBy("obs_id", "target_class").agg(F.mode("prediction", True).alias("vote"), F.count("*").alias("n_trees"))
+    return model.forest_votes(fx.samples(spark, d), FEATURES, "target_class", 8, max_features=3)
 
 
 @query

@@ -289,3 +289,27 @@ def test_partial_sums_stitch_to_the_whole(spark):
     got = {r.c: (r.mean, r.stdv, r["count"]) for r in ensemble.stitched(ensemble.partial_sums(df, ["part", "r", "c"], "v"), ["r", "c"]).collect()}
     whole = {r.c: (r.mean, r.stdv, r["count"]) for r in ensemble.ensemble(df, ["r", "c"], "v", ["mean", "stdv", "count"]).collect()}
     assert got == whole
+
+
+def test_forest_votes_equal_plain_trees(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (3000, 3))
+    y = (x[:, 0] + x[:, 1] > 8).astype(int) + (rng.random(3000) < 0.2) + 3
+    rows = [(i, int(y[i]), float(x[i, 0]), float(x[i, 1]), float(x[i, 2])) for i in range(3000)]
+    odd = [(3000, 3, None, 1.0, 1.0), (3001, 3, float("nan"), 1.0, 1.0), (3002, None, 1.0, 1.0, 1.0)]
+    kind = "obs_id long, t int, f0 double, f1 double, f2 double"
+    df = spark.createDataFrame(rows + odd, kind)
+    names = ["f0", "f1", "f2"]
+    got = {r.obs_id: (r.t, r.vote, r.n_trees) for r in model.forest_votes(df, names, "t", 5, least_share=0.01, depth=6).collect()}
+    bag = model.forest_members(df.select("obs_id"), 5).toPandas().pivot(index="obs_id", columns="set_id", values="in_bag").loc[:2999].to_numpy()
+    votes = np.zeros((3000, 6), int)
+    for t in range(5):
+        own, out = np.flatnonzero(bag[:, t] == 1), np.flatnonzero(bag[:, t] == 0)
+        tree = model.grow_tree(x[own].astype(float), y[own].astype(float), "classifier", share=0.01, depth=6)
+        for i in out:
+            n = 0
+            while tree[n][1] >= 0:
+                n = tree[n][3] if x[i, tree[n][1]] <= tree[n][2] else tree[n][4]
+            votes[i, int(tree[n][5])] += 1
+    assert got == {i: (int(y[i]), float(votes[i].argmax()), int(votes[i].sum())) for i in range(3000) if votes[i].any()}
+    assert model.forest_votes(spark.createDataFrame(odd, kind), names, "t", 5).count() == 0
