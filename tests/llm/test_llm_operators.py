@@ -302,6 +302,18 @@ def test_near_lines_are_found_and_only_they_are_removed(spark):
     assert sum(r.n_paragraphs for r in got.values()) == len(found)
 
 
+def test_near_equal_neighbours_of_one_text_meet(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i in range(20):  # lines of fewer words than a window, next to each other, and blank lines that end blocks
+        line = [f"w{x}" for x in rng.integers(0, 10**6, 20 + i % 5)]
+        first, second = " ".join(line), " ".join([*line[:-1], "other"])
+        rows.append((i, f"{first}\n\n{second}"))
+        want[i] = f"{len(first) + 2}:{len(first) + 2 + len(second)}"
+    got = {r.doc_id: r.spans for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_paragraph_rows_of_one_id_have_their_own_spans(spark, odd):
     rng = random.Random(7)
     line = prose(rng, 30, 5000)
